@@ -1,0 +1,11 @@
+"""Registry of the general queries and their SQL oracles."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
