@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import canon, neardup
+from attestra.llm import bpe, canon, neardup, survivor
 from attestra.tables import read
 
 
@@ -33,8 +33,16 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).rows(neardup.row_of_text(2))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.statement_survivors(read(spark, sf_dir, "provider_outputs"), read(spark, sf_dir, "codebook"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p5_found, p5_classes)}
+    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_classes, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
