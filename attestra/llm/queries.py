@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, canon, neardup, survivor
-from attestra.tables import read
+from attestra.llm import bpe, canon, mixing, neardup, quota, survivor
+from attestra.tables import materialize, read
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,47 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
 
+def _quota(spark: SparkSession, sf_dir: str) -> quota.QuotaSample:
+    mapping, manifest = read(spark, sf_dir, "candidate_mapping"), read(spark, sf_dir, "sampled_validation_freeze_manifest")
+    return quota.QuotaSample(mapping, manifest, ["language", "origin_type"], "sample", "candidate_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir).report().where("shortfall > 0").select("language", "origin_type")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir).report()
+
+
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir).sample()
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.SourceMix:
+    """Leaves: scope of the source document, language as labelled, source."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "manifest_doc_id", F.lower(F.left(F.trim("lang"), F.lit(2))).alias("language"), "source", "text")
+    sized = materialize(bpe.with_token_counts(docs), "sizes")
+    scopes = read(spark, sf_dir, "corpus_manifest").groupBy(F.lower("doc_id").alias("_doc")).agg(F.min("scope").alias("domain"))
+    sized = sized.join(scopes, F.lower("manifest_doc_id") == F.col("_doc"), "left")
+    named = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("none")).alias(c) for c in ("domain", "language", "source")]
+    return mixing.SourceMix(sized.select("doc_id", *named, "n_tokens"), read(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).short_sources()
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).report()
+
+
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).selection()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_classes, p7_ids)}
+    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_selection)}
 
 
 def oracle_sql() -> dict[str, str]:
