@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, canon, mixing, neardup, quota, survivor
+from attestra.llm import bpe, canon, consensus, mixing, neardup, quota, survivor
 from attestra.tables import materialize, read
 
 
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.all_reviews(read(spark, sf_dir, "reviewed_candidates"), read(spark, sf_dir, "review_labels"))
+
+
+def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
+    label = F.when(F.col("decision") == "exclude", F.lit("")).otherwise(F.col("code"))
+    return consensus.Consensus(_reviews(spark, sf_dir).select("item", "annotator", label.alias("label")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _consensus(spark, sf_dir).result().where("keep")
+    asked = read(spark, sf_dir, "reviewed_candidates").select(F.col("candidate_id").alias("item")).distinct()
+    return kept.join(asked, "item", "left_semi").select(F.col("item").alias("candidate_id"), F.col("label").alias("final_code1"))
+
+
+def p1_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).reliability()
+
+
+def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.explode(F.array(F.struct(F.lit("decision").alias("measure"), F.col("decision").alias("label")), F.struct(F.lit("code").alias("measure"), F.col("code").alias("label")))).alias("p")
+    long_ = _reviews(spark, sf_dir).select("item", parts).select("item", "p.*")
+    out = consensus.krippendorff(long_, ["measure"], "item", "label")
+    return out.select("measure", "n_items", "n_labels", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     outputs = read(spark, sf_dir, "provider_outputs")
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("v")) for c in ("quote", "quote_en")])).alias("f")
@@ -81,7 +107,7 @@ def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_selection)}
+    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_selection)}
 
 
 def oracle_sql() -> dict[str, str]:
