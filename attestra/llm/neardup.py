@@ -127,11 +127,19 @@ def _register_matrix(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.nd
     return out, sizes, at
 
 
+def _consecutive(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of consecutive ids (a batch may hold the rows of several files)."""
+    ids = batch.column(0).to_numpy()
+    starts = np.r_[0, np.flatnonzero(np.diff(ids) != 1) + 1, len(ids)].tolist()
+    for a, b in zip(starts, starts[1:]):
+        for at in range(a, b, most):
+            yield batch.slice(at, min(most, b - at))
+
+
 def _band_blobs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 8192):
-                batch = whole.slice(start, 8192)
+            for batch in _consecutive(whole, 8192):
                 ids = batch.column(0).to_numpy()
                 registers, _, _ = _register_matrix(batch.column(1))
                 keys = np.zeros((len(ids), BANDS), dtype=np.uint64)
@@ -146,9 +154,6 @@ def _band_blobs(parts: int):
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 low, offset = low[order], offset[order]
                 blobs = [low[a:b].tobytes() + offset[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-                spread = ids - ids[0]
-                if not (spread == np.arange(len(ids))).all():
-                    raise ValueError("class ids of a batch must be consecutive")
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, ids[0])), pa.array(blobs, pa.binary())], names=["part", "base", "blob"])
 
     return run
