@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, canon, consensus, mixing, neardup, quota, survivor
+from attestra.llm import bpe, canon, consensus, languages, mixing, neardup, quota, survivor
 from attestra.tables import materialize, read
 
 
@@ -35,6 +35,42 @@ def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("measure", "n_items", "n_labels", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")])
 
 
+def _prototypes(spark: SparkSession, sf_dir: str):
+    docs = read(spark, sf_dir, "documents")
+    return languages.train(languages.labelled_sample(docs, "doc_id", "text", "lang"))
+
+
+def _document_languages(spark: SparkSession, sf_dir: str, prototypes) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return languages.detect(docs, prototypes, ["doc_id", "lang"], "text", by_paragraph=True)
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _document_languages(spark, sf_dir, _prototypes(spark, sf_dir))
+    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.segment", "f.language", F.round("f.confidence", 6).alias("confidence"), "f.words")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prototypes = _prototypes(spark, sf_dir)
+    docs = _document_languages(spark, sf_dir, prototypes)
+    all_ = F.array_distinct(F.expr("transform(found, x -> x.language)"))
+    right = (F.size(all_) == 1) & F.coalesce(languages.label_language(F.col("lang")) == all_[0], F.lit(False))
+    wrong = docs.where(~right).select(F.col("doc_id").cast("string").alias("record_key"), F.explode("found").alias("f"))
+    documents = wrong.select(F.lit("documents").alias("table_name"), "record_key", F.col("f.segment").alias("segment"), F.col("f.language").alias("language")).distinct()
+
+    outputs = read(spark, sf_dir, "provider_outputs").where(~canon.is_placeholder(F.col("quote"))).select("record_id", "doc_id", "quote")
+    quotes = languages.detect(outputs, prototypes, ["record_id", "doc_id"], "quote", by_paragraph=False)
+    quotes = materialize(quotes.select("record_id", "doc_id", all_.alias("langs")), "quotelangs")
+    several = quotes.where(F.size("langs") > 1).select(F.lit("provider_outputs").alias("table_name"), F.col("record_id").cast("string").alias("record_key"), F.lit(0).alias("segment"), F.explode("langs").alias("language"))
+
+    spoken = quotes.select("doc_id", F.explode("langs").alias("language")).distinct()
+    only = spoken.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("language").alias("one"))
+    manifest = read(spark, sf_dir, "corpus_manifest").select("doc_id", languages.label_language(F.col("language")).alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
+    bad = manifest.join(only, "doc_id").where(~((F.col("n") == 1) & F.coalesce(F.col("label") == F.col("one"), F.lit(False)))).select("doc_id")
+    corpus = spoken.join(bad, "doc_id", "left_semi").select(F.lit("corpus_manifest").alias("table_name"), F.col("doc_id").alias("record_key"), F.lit(0).alias("segment"), "language")
+    return documents.unionByName(corpus).unionByName(several)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     outputs = read(spark, sf_dir, "provider_outputs")
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("v")) for c in ("quote", "quote_en")])).alias("f")
@@ -107,7 +143,7 @@ def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_selection)}
+    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_selection)}
 
 
 def oracle_sql() -> dict[str, str]:
