@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, canon, consensus, languages, mixing, neardup, quota, survivor
+from attestra.llm import bpe, canon, consensus, languages, mixing, neardup, quota, readability, survivor
 from attestra.tables import materialize, read
 
 
@@ -142,8 +142,22 @@ def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).selection()
 
 
+def _graded(spark: SparkSession, sf_dir: str):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return readability.graded(docs, read(spark, sf_dir, "reading_labels"), _prototypes(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graded(spark, sf_dir)[0].select("doc_id", "band")
+
+
+def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, model = _graded(spark, sf_dir)
+    return found.select("doc_id", F.round("grade", 6).alias("grade"), "band", F.lit(model.cv_accuracy).cast("double").alias("cv_accuracy"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_selection)}
+    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_selection, p9_found, p9_grades)}
 
 
 def oracle_sql() -> dict[str, str]:
