@@ -55,6 +55,7 @@ MAPPED_RANGES = ((0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x10000), (0x10000, 0x1
 PLACEHOLDERS = ("", "-", "none", "null", "n/a")
 #: A text without any of these is its own form.
 PLAIN = r"[^\n -~]"
+_ODD = re.compile(PLAIN)
 _SIZE = 0x110000
 _JAMO = re.compile("[\u1100-\u11ff]")
 
@@ -166,6 +167,15 @@ def canonical_texts(texts: list[str]) -> list[str]:
     return [joined[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def canonical_or_null(texts: list[str | None]) -> list[str | None]:
+    """For operators that are in Python already: nulls stay, plain texts are their own form."""
+    out = list(texts)
+    odd = [i for i, t in enumerate(out) if t and _ODD.search(t)]
+    for i, form in zip(odd, canonical_texts([out[i] for i in odd])):
+        out[i] = form
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def _canonical_udf(texts: pd.Series) -> pd.Series:
     known = texts.notna()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.canon import canonical, canonical_texts
+from attestra.llm.canon import canonical_or_null, canonical_texts
 from attestra.llm.prefix import up_to_budget
 
 LANGUAGES = ("en", "es", "fr", "de", "pt", "ru", "uk", "ja")
@@ -54,7 +54,7 @@ TRAIN_GRAMS = 6_000
 MIN_WORDS, MARGIN = 3, 0.055
 #: Of the softmax that turns cosines into a confidence.
 SHARPNESS = 60
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 BLANK_LINES = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -105,7 +105,7 @@ def gram_vectors(some: list[str], letters: dict[str, np.ndarray]) -> np.ndarray:
     for row, gram in zip(out, some):
         for place, letter in enumerate(gram):
             if (key := (letter, place)) not in letters:
-                if len(letters) > 4_000:
+                if len(letters) > 1_500:
                     letters.clear()
                 letters[key] = np.roll(letter_vector(letter), place)
             np.multiply(row, letters[key], out=row)
@@ -254,9 +254,9 @@ def detect(rows: DataFrame, prototypes: np.ndarray, keys: list[str], text_col: s
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                found = judge(profiles, batch.column(batch.num_columns - 1).to_pylist(), by_paragraph)
+                found = judge(profiles, canonical_or_null(batch.column(batch.num_columns - 1).to_pylist()), by_paragraph)
                 out = pa.array([[dict(zip(("segment", "language", "confidence", "words"), x)) for x in f] for f in found], kind)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*keys, "found"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys) + ", found array<struct<segment int, language string, confidence double, words int>>"
-    return rows.select(*keys, canonical(F.col(text_col)).alias("_text")).mapInArrow(run, schema)
+    return rows.select(*keys, F.col(text_col).alias("_text")).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm import languages
-from attestra.llm.canon import canonical
+from attestra.llm.canon import canonical_or_null
 from attestra.tables import materialize
 
 #: Labelled documents used for training, at most (by smallest hash).
@@ -183,7 +183,7 @@ def measures(docs: DataFrame, prototypes: np.ndarray) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
-                texts = batch.column(2).to_pylist()
+                texts = canonical_or_null(batch.column(2).to_pylist())
                 kept, rows = [], []
                 for i, found in enumerate(languages.judge(profiles, texts, by_paragraph=True)):
                     if found and {f[1] for f in found} == {"en"} and (m := document_measures(texts[i])) is not None:
@@ -193,7 +193,7 @@ def measures(docs: DataFrame, prototypes: np.ndarray) -> DataFrame:
 
     # words are counted in the text as it is, the measures are taken of its consistent form
     long_enough = docs.where(F.size(F.expr("filter(split(text, '\\\\s+'), w -> w <> '')")) >= MIN_WORDS)
-    return long_enough.select("doc_id", "source", canonical(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, source string, measures array<float>")
+    return long_enough.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, measures array<float>")
 
 
 def graded(docs: DataFrame, labels: DataFrame, prototypes: np.ndarray) -> tuple[DataFrame, GradeModel]:
