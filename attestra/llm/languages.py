@@ -229,21 +229,33 @@ def judge(profiles: Profiles, texts: list[str | None], by_paragraph: bool) -> li
     own = scores.argmax(1)
     root = np.sqrt(np.maximum(size, 1))
     other = (own != main) & (n >= MIN_WORDS) & (scores[at, own] - scores[at, main] > MARGIN * root)
-    sure = lambda x, k: np.exp(SHARPNESS * (x - x.max()) / np.sqrt(max(k, 1)))
-    for j, (a, b) in enumerate(zip(starts.tolist(), np.r_[starts[1:], len(where)].tolist())):
-        if words[j] < MIN_WORDS:
+    grams_in = np.add.reduceat(size, starts)
+    ends = np.r_[starts[1:], len(where)]
+    mixed = np.logical_or.reduceat(other, starts)
+    first = total.argmax(1)
+    sure = _confidence(total, grams_in)[np.arange(len(starts)), first]
+    for j, (a, code, c, k) in enumerate(zip(starts.tolist(), first.tolist(), sure.tolist(), words.tolist())):
+        if k < MIN_WORDS:
             continue
-        found = {int(total[j].argmax()): None} | {int(own[x]): None for x in range(a, b) if other[x]} if other[a:b].any() else {int(total[j].argmax()): None}
-        for code in found:
-            mine = [x for x in range(a, b) if (own[x] if other[x] else main[x]) == code]
-            part, k = scores[mine].sum(0), int(n[mine].sum())
-            if k < MIN_WORDS:
-                continue
-            e = sure(part, float(size[mine].sum()))
-            out[owner[a]].append((segment[a], LANGUAGES[code], float(e[code] / e.sum()), k))
+        if not mixed[j]:
+            out[owner[a]].append((segment[a], LANGUAGES[code], c, k))
+            continue
+        part = slice(a, int(ends[j]))
+        spoken = np.where(other[part], own[part], code)
+        for language in dict.fromkeys([code, *spoken.tolist()]):
+            mine = spoken == language
+            if (k := int(n[part][mine].sum())) >= MIN_WORDS:
+                c = _confidence(scores[part][mine].sum(0)[None], size[part][mine].sum()[None])[0, language]
+                out[owner[a]].append((segment[a], LANGUAGES[language], float(c), k))
     return out
 
 
+def _confidence(scores: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Softmax of the cosines of bundles of ``size`` n-grams."""
+    e = np.exp(SHARPNESS * (scores - scores.max(1, keepdims=True)) / np.sqrt(np.maximum(size, 1))[:, None])
+    return e / e.sum(1, keepdims=True)
+
+
 def detect(rows: DataFrame, prototypes: np.ndarray, keys: list[str], text_col: str, by_paragraph: bool) -> DataFrame:
     """Adds ``found``: array of (segment, language, confidence, words); empty for null texts and texts without language."""
     shipped = rows.sparkSession.sparkContext.broadcast(prototypes.astype(np.float32))

@@ -36,41 +36,66 @@ SUBORDINATE = frozenset("which whose whom that although though because unless wh
 MEASURES = ("word_length", "long", "very_long", "syllables", "sentence_words", "sentence_spread", "commas", "stops", "questions", "common", "subordinate", "variety", "overlap", "short")
 
 
-def paragraph_measures(paragraph: str) -> tuple[list[float], int] | None:
-    """Measures of one paragraph and its number of words; None if it has no word."""
-    sentences = [ws for s in languages.SENTENCE.split(paragraph.replace("\n", " ")) if (ws := WORD.findall(s))]
-    words = [w for ws in sentences for w in ws]
-    n = len(words)
-    if not n:
-        return None
-    lengths = np.fromiter(map(len, words), dtype=np.float64, count=n)
-    sizes = np.fromiter(map(len, sentences), dtype=np.float64, count=len(sentences))
-    lower = [w.lower() for w in words]
-    content, overlap, at = None, 0.0, 0
-    for ws in sentences:
-        own = {w for w in lower[at : at + len(ws)] if len(w) > 3}
-        at += len(ws)
-        if content is not None and own:
-            overlap += len(own & content) / len(own)
-        content = own
-    values = [
-        lengths.mean(), (lengths >= 8).mean(), (lengths >= 12).mean(), len(VOWELS.findall(paragraph)) / n, sizes.mean(), sizes.std(),
-        paragraph.count(",") / n, (paragraph.count(";") + paragraph.count(":")) / n, paragraph.count("?") / len(sentences),
-        sum(w in COMMON for w in lower) / n, sum(w in SUBORDINATE for w in lower) / n, len(set(lower)) / n, overlap / max(1, len(sentences) - 1), (lengths <= 4).mean(),
-    ]
-    return values, n
-
-
-def document_measures(text: str) -> np.ndarray | None:
-    """Mean and quartiles of the measures over the paragraphs, weighted by words."""
-    found = [m for p in languages.paragraphs(text) if (m := paragraph_measures(p)) is not None]
-    if not found:
-        return None
-    values, weights = np.array([v for v, _ in found]), np.array([n for _, n in found], dtype=np.float64)
-    order = np.argsort(values, axis=0, kind="stable")
-    share = np.cumsum(weights[order], axis=0) / weights.sum()
-    quartiles = [np.take_along_axis(values, np.take_along_axis(order, (share >= q - 1e-12).argmax(0)[None, :], 0), 0)[0] for q in (0.25, 0.5, 0.75)]
-    return np.concatenate([np.average(values, axis=0, weights=weights), *quartiles]).astype(np.float32)
+class Words(dict):
+    """Number of each word and, in ``table``, its measures: letters, 8 or more, 12 or more, syllables, common, subordinate, 4 or fewer."""
+
+    def __init__(self):
+        self.table = np.zeros((1024, 7), dtype=np.float32)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        if n >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        k = len(word)
+        self.table[n] = (k, k >= 8, k >= 12, len(VOWELS.findall(word)), word in COMMON, word in SUBORDINATE, k <= 4)
+        return n
+
+
+def measure_matrix(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the texts that have a word, and for each mean and quartiles of its paragraphs' measures, weighted by words."""
+    if len(words) > languages.KEPT_WORDS:
+        words.clear()
+    number = words.__getitem__
+    owner, extra, sentence_sizes, sentence_counts, flat = [], [], [], [], []
+    for i, text in enumerate(texts):
+        for paragraph in languages.paragraphs(text):
+            sentences = [ws for s in languages.SENTENCE.split(paragraph.lower().replace("\n", " ")) if (ws := WORD.findall(s))]
+            if not sentences:
+                continue
+            content, overlap, kinds = None, 0.0, set()
+            for ws in sentences:
+                sentence_sizes.append(len(ws))
+                flat += map(number, ws)
+                own = set(ws)
+                kinds |= own
+                own -= COMMON
+                if content is not None and own:
+                    overlap += len(own & content) / len(own)
+                content = own
+            owner.append(i)
+            sentence_counts.append(len(sentences))
+            count = paragraph.count
+            extra.append((count(","), count(";") + count(":"), count("?"), len(kinds), overlap / max(1, len(sentences) - 1)))
+    if not owner:
+        return np.zeros(0, np.int64), np.zeros((0, 4 * len(MEASURES)), np.float32)
+    k = np.array(sentence_counts)
+    size = np.array(sentence_sizes, dtype=np.float64)
+    at = np.r_[0, np.cumsum(k)[:-1]]
+    n = np.add.reduceat(size, at)
+    sums = np.add.reduceat(words.table[np.array(flat)].astype(np.float64), np.r_[0, np.cumsum(n)[:-1]].astype(np.int64), axis=0) / n[:, None]
+    mean = n / k
+    spread = np.sqrt(np.maximum(np.add.reduceat(size * size, at) / k - mean * mean, 0))
+    commas, stops, questions, kinds, overlap = np.array(extra, dtype=np.float64).T
+    values = np.stack([sums[:, 0], sums[:, 1], sums[:, 2], sums[:, 3], mean, spread, commas / n, stops / n, questions / k, sums[:, 4], sums[:, 5], kinds / n, overlap, sums[:, 6]], 1)
+    doc, first = np.unique(np.array(owner), return_index=True)
+    which = np.repeat(np.arange(len(doc)), np.diff(np.r_[first, len(owner)]))
+    total = np.add.reduceat(n, first)
+    before = np.r_[0, np.cumsum(total)[:-1]]
+    parts = [np.add.reduceat(values * n[:, None], first, axis=0) / total[:, None]]
+    sorted_ = [np.lexsort((values[:, m], which)) for m in range(values.shape[1])]
+    for q in (0.25, 0.5, 0.75):  # the value at which the running words of a text reach the share
+        parts.append(np.stack([values[o[np.searchsorted(np.cumsum(n[o]), before + q * total - 1e-6)], m] for m, o in enumerate(sorted_)], 1))
+    return doc, np.concatenate(parts, 1).astype(np.float32)
 
 
 class BoostedTrees:
@@ -179,17 +204,16 @@ def measures(docs: DataFrame, prototypes: np.ndarray) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(prototypes.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles = languages.Profiles(shipped.value)
+        profiles, words = languages.Profiles(shipped.value), Words()
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
                 texts = canonical_or_null(batch.column(2).to_pylist())
-                kept, rows = [], []
-                for i, found in enumerate(languages.judge(profiles, texts, by_paragraph=True)):
-                    if found and {f[1] for f in found} == {"en"} and (m := document_measures(texts[i])) is not None:
-                        kept.append(i)
-                        rows.append(m)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64())), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "source", "measures"])
+                english = [i for i, found in enumerate(languages.judge(profiles, texts, by_paragraph=True)) if found and all(f[1] == "en" for f in found)]
+                at, values = measure_matrix([texts[i] for i in english], words)
+                kept = pa.array(np.array(english, dtype=np.int64)[at])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), lists], names=["doc_id", "source", "measures"])
 
     # words are counted in the text as it is, the measures are taken of its consistent form
     long_enough = docs.where(F.size(F.expr("filter(split(text, '\\\\s+'), w -> w <> '')")) >= MIN_WORDS)
