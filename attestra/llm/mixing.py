@@ -84,12 +84,17 @@ class SourceMix:
     ``sized``: doc_id, domain, language, source (nulls become 'none'), n_tokens. ``targets``: source,
     target_share, max_repeats (null: share 0, one use); repeated sources are added up. A source without a
     target is not used; a target without documents is a leaf of size 0. The total is the size of
-    all documents unless given. Documents of no tokens are never chosen.
+    all documents unless given. Documents of no tokens are never chosen, rows without a doc_id are left
+    out, and rows of one doc_id are one document (the smallest row).
     """
 
     def __init__(self, sized: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 1):
-        self.sized, self.seed, spark = sized, seed, sized.sparkSession
         path = ["domain", "language", "source"]
+        named = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("none")).alias(c) for c in path]
+        clean = sized.select("doc_id", *named, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).where("doc_id is not null")
+        one = clean.groupBy("doc_id").agg(F.min(F.struct(*path, "n_tokens")).alias("x"))
+        sized = self.sized = one.select("doc_id", "x.*")
+        self.seed, spark = seed, sized.sparkSession
         sizes = sized.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
         wanted = targets.where("source is not null").groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("repeats"))
         rows = sizes.join(wanted, "source", "full").limit(MAX_LEAVES + 1).collect()

@@ -36,6 +36,8 @@ KANA_KANJI = re.compile("[぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ff
 #: 0.981 at 0.70, 0.9995 at 0.75, 0.999999 at 0.80.
 BANDS, ROWS = 96, 9
 SKETCH = 64
+#: Words whose register codes are held at once (about 100 MB).
+MAX_VOCABULARY = 60_000
 KEYS_PER_PARTITION = 1_500_000
 
 
@@ -115,16 +117,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _register_matrix(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _register_matrix(words: pa.ListArray) -> np.ndarray:
+    """16-bit registers of each set; the table of the words' codes is kept under MAX_VOCABULARY rows."""
     flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-    sizes = np.diff(words.offsets.to_numpy())
-    vocabulary, at = np.unique(flat, return_inverse=True)
-    codes = register_codes(_mix(vocabulary.astype(np.uint64), 0x5851F42D4C957F2D), BANDS * ROWS)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    out = np.empty((len(sizes), BANDS * ROWS), dtype=np.uint16)
-    for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
-        np.minimum.reduce(codes[at[s : s + n]], axis=0, out=out[i])
-    return out, sizes, at
+    ends = np.cumsum(np.diff(words.offsets.to_numpy()))
+    out = np.full((len(ends), BANDS * ROWS), 0xFFFF, dtype=np.uint16)
+    todo = [(0, len(flat))]
+    while todo:
+        lo, hi = todo.pop()
+        vocabulary, at = np.unique(flat[lo:hi], return_inverse=True)
+        if len(vocabulary) > MAX_VOCABULARY:  # many different words, or one very long text: halves, cut anywhere
+            todo += [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
+            continue
+        codes = register_codes(_mix(vocabulary.astype(np.uint64), 0x5851F42D4C957F2D), BANDS * ROWS)
+        first = int(np.searchsorted(ends, lo, side="right"))
+        a = lo
+        while a < hi:
+            b = min(int(ends[first]), hi)
+            np.minimum(out[first], np.minimum.reduce(codes[at[a - lo : b - lo]], axis=0), out=out[first])
+            a, first = b, first + 1
+    return out
 
 
 def _consecutive(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -141,7 +153,7 @@ def _band_blobs(parts: int):
         for whole in batches:
             for batch in _consecutive(whole, 8192):
                 ids = batch.column(0).to_numpy()
-                registers, _, _ = _register_matrix(batch.column(1))
+                registers = _register_matrix(batch.column(1))
                 keys = np.zeros((len(ids), BANDS), dtype=np.uint64)
                 banded = registers.reshape(len(ids), BANDS, ROWS)
                 for r in range(ROWS):
@@ -168,6 +180,8 @@ def _equal_key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             keys.append(np.frombuffer(blob, dtype=np.uint32, count=n))
             ids.append(np.frombuffer(blob, dtype=np.uint16, count=n, offset=4 * n).astype(np.int64) + base)
     key, cls = np.concatenate(keys), np.concatenate(ids)
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     key, cls = key[order], cls[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])

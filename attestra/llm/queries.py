@@ -126,8 +126,7 @@ def _mix(spark: SparkSession, sf_dir: str) -> mixing.SourceMix:
     sized = materialize(bpe.with_token_counts(docs), "sizes")
     scopes = read(spark, sf_dir, "corpus_manifest").groupBy(F.lower("doc_id").alias("_doc")).agg(F.min("scope").alias("domain"))
     sized = sized.join(scopes, F.lower("manifest_doc_id") == F.col("_doc"), "left")
-    named = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("none")).alias(c) for c in ("domain", "language", "source")]
-    return mixing.SourceMix(sized.select("doc_id", *named, "n_tokens"), read(spark, sf_dir, "mix_targets"))
+    return mixing.SourceMix(sized.select("doc_id", "domain", "language", "source", "n_tokens"), read(spark, sf_dir, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,5 +159,24 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_selection, p9_found, p9_grades)}
 
 
+STRATA_SQL = """WITH m AS (SELECT lower(trim(language)) l, lower(trim(origin_type)) o, count(DISTINCT candidate_id) n FROM candidate_mapping GROUP BY 1, 2),
+    s AS (SELECT language, origin_type, sample target, coalesce(n, 0) available FROM sampled_validation_freeze_manifest f LEFT JOIN m ON l = lower(trim(f.language)) AND o = lower(trim(f.origin_type))),
+    q AS (SELECT *, least(available, greatest(target, (available > 0)::INT)) quota FROM s)"""
+AGREEMENT_SQL = """WITH r AS (SELECT candidate_id item, 'martin' who, lower(trim(inclusion_decision_martin)) d, trim(final_code1_martin) c, TIMESTAMP '0001-01-01' t FROM reviewed_candidates UNION ALL
+    SELECT candidate_id, 'dominik', lower(trim(inclusion_decision_dominik)), trim(final_code1_dominik), TIMESTAMP '0001-01-01' FROM reviewed_candidates UNION ALL
+    SELECT candidate_id, lower(trim(reviewer)), lower(trim(inclusion_decision)), trim(final_code1), coalesce(reviewed_at, TIMESTAMP '0001-01-01') FROM review_labels),
+    l AS (SELECT item, who, d, nullif(c, '') c FROM (SELECT *, row_number() OVER (PARTITION BY item, who ORDER BY t DESC, d DESC, coalesce(c, '') DESC) k FROM r
+      WHERE item IS NOT NULL AND who IS NOT NULL AND d IN ('keep', 'exclude')) WHERE k = 1),
+    v AS (SELECT 'decision' measure, item, d lab FROM l UNION ALL SELECT 'code', item, c FROM l WHERE c IS NOT NULL),
+    n AS (SELECT measure, item, lab, count(*) n, sum(count(*)) OVER (PARTITION BY measure, item) m FROM v GROUP BY 1, 2, 3), k AS (SELECT * FROM n WHERE m > 1),
+    o AS (SELECT measure, count(DISTINCT item) n_items, sum(n)::BIGINT n_labels, sum(n * (m - n) / (m - 1)::DOUBLE) / sum(n) observed FROM k GROUP BY 1),
+    e AS (SELECT measure, (sum(n)::DOUBLE ** 2 - sum(n::DOUBLE ** 2)) / (sum(n)::DOUBLE * (sum(n) - 1)) expected FROM (SELECT measure, lab, sum(n) n FROM k GROUP BY 1, 2) GROUP BY 1)
+    SELECT measure, n_items, n_labels, round(observed, 9) observed, round(expected, 9) expected, round(1 - observed / nullif(expected, 0), 9) alpha FROM o JOIN e USING (measure)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_agreement": AGREEMENT_SQL,
+        "p6_found": STRATA_SQL + " SELECT language, origin_type FROM q WHERE target > quota",
+        "p6_report": STRATA_SQL + " SELECT language, origin_type, target, available, quota::BIGINT quota, greatest(target - quota, 0)::BIGINT shortfall FROM q",
+    }
