@@ -227,7 +227,7 @@ def graded(docs: DataFrame, labels: DataFrame, prototypes: np.ndarray) -> tuple[
     given = labels.where("band between 1 and 3").groupBy("doc_id").agg(F.avg("band").alias("grade"))
     chosen = own.join(given, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).collect()
     chosen.sort(key=lambda r: r.doc_id)
-    x = np.array([r.measures for r in chosen], dtype=np.float64).reshape(len(chosen), -1)
+    x = np.array([r.measures for r in chosen], dtype=np.float64).reshape(len(chosen), 4 * len(MEASURES))
     model = GradeModel(x, np.array([r.grade for r in chosen]), [r.source for r in chosen])
     shipped = spark.sparkContext.broadcast(model)
 
