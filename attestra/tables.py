@@ -32,12 +32,29 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a recomputation, and
-    several consumers do not run the plan above again.
+    several consumers do not run the plan above again. The table goes when the driver's JVM
+    ends, or by :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/attestra-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.attestra_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`materialize` that nothing reads any more."""
+    for t in tables:
+        fs, where = _file_system(t.sparkSession, t.attestra_path)
+        fs.delete(where, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def local_path(uri: str) -> str:
