@@ -94,9 +94,9 @@ def letter_vector(letter: str) -> np.ndarray:
 
 
 def grams(word: str) -> list[str]:
-    """Letter trigrams of the word between blanks, and a short word as a whole."""
+    """Distinct letter trigrams of the word between blanks, and a short word as a whole (a letter run counts once)."""
     padded = f" {word} "
-    out = [padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)]
+    out = list(dict.fromkeys(padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)))
     return out + [padded] if GRAM < len(padded) <= WHOLE_WORD + 2 else out
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.canon import canonical, is_placeholder
-from attestra.tables import materialize
+from attestra.tables import discard, materialize
 
 WORD = re.compile(r"[^\W_]+")
 #: kana and unified ideographs
@@ -270,6 +270,7 @@ class NearDuplicates:
         right = sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         likely = candidates.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_likely(threshold), "a long, b long")
         likely = materialize(likely, "likely")
+        discard(candidates, sketch)
         self._release(spark)
         involved = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         involved = classes.join(involved, "id", "left_semi")
@@ -281,6 +282,7 @@ class NearDuplicates:
             likely.join(left, "a").join(right, "b").withColumn("jaccard", exact).where(F.col("jaccard") >= threshold).select("a1", "a2", "b1", "b2", "jaccard"),
             "links",
         )
+        discard(likely, classes)
         self._release(spark)
 
     @staticmethod

@@ -192,6 +192,7 @@ def test_paragraphs_and_mixed_text(profiles):
     assert langs(profiles, f"{en} In Halphamar and Brenwaton. Quormaton.") == [(0, "en")]
     assert langs(profiles, "30 | 4915 | 1336 ... Zanten") == [] and langs(profiles, None) == [] and langs(profiles, " \n ") == []
     odd = en.replace("e", "е").replace("a", "­a")
+    assert langs(profiles, f"{en} Shops trust {'x' * 60} it when it rains.") == [(0, "en")]
     assert langs(profiles, odd) == [(0, "en")]
 
 
