@@ -8,10 +8,13 @@ cluster totals, never rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,34 @@ def resample(clusters: DataFrame, key: str, columns: Sequence[str], draws: int,
     return times.join(numbered, "i").groupBy("draw").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in columns])
 
 
+def resample_poisson(clusters: DataFrame, key: str, columns: Sequence[str], draws: int, seed: str) -> DataFrame:
+    """draw and sums of ``columns`` with Poisson(1) repeats of each cluster, for any number of clusters.
+
+    A repeat is a hash of (seed, cluster, draw), so it does not depend on the partitioning. Every batch
+    sends one row per draw; clusters are neither numbered nor moved. Null values count as 0.
+    """
+    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
+    salt = np.uint64(int(hashlib.sha256(seed.encode()).hexdigest()[:16], 16))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (np.arange(draws, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            values = np.stack([np.nan_to_num(c.cast(pa.float64()).to_numpy(zero_copy_only=False)) for c in batch.columns[1:]], 1)
+            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) ^ salt
+            sums = np.zeros((draws, values.shape[1]))
+            for at in range(0, len(keys), 512):
+                x = keys[at : at + 512, None] + number[None, :]
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                uniform = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                sums += np.searchsorted(steps, uniform).T.astype(np.float64) @ values[at : at + 512]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), *[pa.array(sums[:, i]) for i in range(sums.shape[1])]], names=["draw", *columns])
+
+    schema = "draw long, " + ", ".join(f"`{c}` double" for c in columns)
+    each = clusters.select(F.xxhash64(key).alias("k"), *columns).mapInArrow(run, schema)
+    return each.groupBy("draw").agg(*[F.sum(c).alias(c) for c in columns])
+
+
 def interval(draws: DataFrame, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """Lower and upper percentile of each column over the draws where it is defined."""
     q = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
@@ -48,9 +79,13 @@ def interval(draws: DataFrame, columns: Sequence[str], alpha: float = 0.05) -> D
     return out.select(*[x for c in columns for x in (F.col(c)[0].alias(f"{c}_low"), F.col(c)[1].alias(f"{c}_high"))])
 
 
-def bootstrap_confusion(totals: DataFrame, cluster: str, draws: int, seed: str) -> DataFrame:
-    """Intervals of precision, recall and f1 from cluster totals of tp, fp, fn."""
-    sums = resample(totals, cluster, ["tp", "fp", "fn"], draws, seed)
+def bootstrap_confusion(totals: DataFrame, cluster: str, draws: int, seed: str, poisson: bool = False) -> DataFrame:
+    """Intervals of precision, recall and f1 from cluster totals of tp, fp, fn.
+
+    The default draws as many clusters as there are, which numbers them in one task: for up to some
+    hundred thousand clusters. ``poisson`` has no such bound.
+    """
+    sums = (resample_poisson if poisson else resample)(totals, cluster, ["tp", "fp", "fn"], draws, seed)
     d = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(a) + F.col(b))
     rates = sums.withColumns({"precision": d("tp", "fp"), "recall": d("tp", "fn")}).withColumn("f1", f1(F.col("precision"), F.col("recall")))
     return interval(rates, ["precision", "recall", "f1"])
@@ -118,8 +153,6 @@ def exact_inference(rows: DataFrame, by: Sequence[str], x: str, y: str, seed_col
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by) + ", r double, n long, low double, high double, p double"
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
         clean = pdf[[x, y]].dropna().astype(float).to_numpy()
         rng = np.random.default_rng(int(hashlib.sha256(str(pdf[seed_col].iloc[0]).encode()).hexdigest()[:16], 16))
 

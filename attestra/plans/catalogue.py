@@ -500,6 +500,13 @@ def q_bootstrap_confusion(spark, d):
     return out.select(*r6(*out.columns))
 
 
+@query()
+def q_bootstrap_poisson(spark, d):
+    totals = evaluate.cluster_totals(paragraphs(spark, d), "found_any", "doc_id")
+    out = inference.bootstrap_confusion(totals, "doc_id", 2000, "b2", poisson=True)
+    return out.select(*r6(*out.columns))
+
+
 @query(
     ", " + ENTITY + """, ent AS (SELECT string_split(doc_id, '_')[1] entity, avg(pages) pages FROM (SELECT DISTINCT * FROM corpus_manifest) GROUP BY 1), t AS (SELECT entity k, posture x, pages y FROM es JOIN ent USING (entity) WHERE variant = 'ensemble' AND posture IS NOT NULL AND pages IS NOT NULL),
     n AS (SELECT *, row_number() OVER (ORDER BY k) i FROM t), s AS (SELECT draw, k, row_number() OVER (PARTITION BY draw ORDER BY md5('p1|' || draw::VARCHAR || '|' || k), k) i FROM range(500) a(draw), t),

@@ -180,6 +180,14 @@ def test_bootstrap_interval_holds_the_point(spark):
     assert r == again
 
 
+def test_poisson_bootstrap_agrees_with_the_multinomial(spark):
+    rows = spark.createDataFrame([(f"d{i}", 8 + i % 3, i % 2, 2) for i in range(300)], "doc string, tp long, fp long, fn long")
+    a, b = one(inference.bootstrap_confusion(rows, "doc", 400, "s")), one(inference.bootstrap_confusion(rows, "doc", 400, "s", poisson=True))
+    assert abs(a.precision_low - b.precision_low) < 0.01 and abs(a.recall_high - b.recall_high) < 0.01
+    assert {r.draw: r.tp for r in inference.resample_poisson(rows, "doc", ["tp"], 20, "s").collect()} == {r.draw: r.tp for r in inference.resample_poisson(rows.repartition(5), "doc", ["tp"], 20, "s").collect()}
+    assert inference.resample_poisson(rows.limit(0), "doc", ["tp"], 20, "s").count() == 0
+
+
 def test_cluster_bootstrap(spark):
     rows = spark.createDataFrame([(f"d{i % 5}", float(i)) for i in range(25)], "c string, v double")
     r = one(inference.cluster_bootstrap(rows, "c", lambda pdf: pdf.v.mean(), 60, 7))
