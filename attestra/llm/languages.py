@@ -174,7 +174,7 @@ def _bundle(counts: list[Counter]) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def train(samples: list[tuple[str, str]], rounds: int = 3) -> np.ndarray:
+def train(samples: list[tuple[str, str]], rounds: int = 2) -> np.ndarray:
     """Prototypes from (language, text) samples whose labels may be wrong; without samples from the seeds alone."""
     seeds = [Counter(g for w in words_of(SEEDS[code].lower()) for g in grams(canonical_texts([w])[0])) for code in LANGUAGES]
     prototypes = _bundle(seeds)

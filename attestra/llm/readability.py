@@ -208,16 +208,15 @@ def measures(docs: DataFrame, prototypes: np.ndarray) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
-                texts = canonical_or_null(batch.column(2).to_pylist())
+                # words are counted in the text as it is, the measures are taken of its consistent form
+                texts = canonical_or_null([t if t and len(t.split()) >= MIN_WORDS else None for t in batch.column(2).to_pylist()])
                 english = [i for i, found in enumerate(languages.judge(profiles, texts, by_paragraph=True)) if found and all(f[1] == "en" for f in found)]
                 at, values = measure_matrix([texts[i] for i in english], words)
                 kept = pa.array(np.array(english, dtype=np.int64)[at])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), lists], names=["doc_id", "source", "measures"])
 
-    # words are counted in the text as it is, the measures are taken of its consistent form
-    long_enough = docs.where(F.size(F.expr("filter(split(text, '\\\\s+'), w -> w <> '')")) >= MIN_WORDS)
-    return long_enough.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, measures array<float>")
+    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, measures array<float>")
 
 
 def graded(docs: DataFrame, labels: DataFrame, prototypes: np.ndarray) -> tuple[DataFrame, GradeModel]:
