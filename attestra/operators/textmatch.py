@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +90,91 @@ def score_pairs(pairs: DataFrame, quote: str, text: str, fuzzy_stage: bool = Tru
     return d.withColumns({"score": F.coalesce(score, F.col("_f.score")), "method": F.coalesce("_m", F.col("_f.method"))}).drop("_q", "_p", "_qn", "_pn", "_m", "_f")
 
 
+#: Smallest windows of characters; texts whose runs allow only smaller ones are a few characters long and meet their whole page.
+MIN_WINDOW, MIN_TOKEN_WINDOW = 4, 2
+_BASE, _INVERSE = np.uint64(0x100000001B3), np.uint64(pow(0x100000001B3, -1, 1 << 64))
+
+
+def winnowed(codes: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of the windows of k items that are smallest among k neighbours.
+
+    Two sequences that share a run of 2k-1 items share one of them.
+    """
+    if len(codes) < k:
+        return np.zeros(0, np.uint64)
+    power = _BASE ** np.arange(len(codes), dtype=np.uint64)  # wraps around, as hashes may
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(0x9E3779B9)) * power)])
+    back = _INVERSE ** np.arange(len(codes) - k + 1, dtype=np.uint64)  # equal windows get equal values wherever they stand
+    h = (sums[k:] - sums[:-k]) * back
+    h = (h * np.uint64(0xFF51AFD7ED558CCD)) ^ (h >> np.uint64(29))
+    if len(h) <= k:
+        return h.min(keepdims=True)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, k).min(1))
+
+
+def window_for(run: int, smallest: int) -> int:
+    """Greatest power of two k with 2k-1 <= run; 0 if that is under ``smallest``."""
+    k = 1 << max(0, ((run + 1) // 2).bit_length() - 1)
+    return k if k >= smallest else 0
+
+
+def _sequences(text: str, threshold: float) -> list[tuple[np.ndarray, int, int, int]]:
+    """Items, smallest window, own window and sign of the sizes: characters without blanks, and tokens."""
+    tokens = text.split()
+    bare = "".join(tokens)
+    chars = np.frombuffer(bare.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = [(chars, MIN_WINDOW, window_for(math.ceil(threshold * len(bare) - 1e-9), MIN_WINDOW), 1)]
+    if len(tokens) >= MIN_TOKENS:
+        least = max(RUN_SHORT if len(tokens) <= SHORT_SIDE else RUN, math.ceil(threshold * len(tokens) - 1e-9))
+        codes = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens], dtype=np.uint32)
+        out.append((codes, MIN_TOKEN_WINDOW, window_for(least, MIN_TOKEN_WINDOW), -1))
+    return out
+
+
+def _seeds(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sizes, roles, prints = [], [], [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for items, k, own, sign in _sequences(text, threshold):
+                    while k <= len(items):
+                        marks = winnowed(items, k)
+                        at += [i] * len(marks)
+                        sizes += [sign * k] * len(marks)
+                        roles += [k == own] * len(marks)
+                        prints.append(marks)
+                        k *= 2
+            rows = batch.take(pa.array(at, pa.int64()))
+            flat = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(sizes, pa.int32()), pa.array(roles, pa.bool_()), pa.array(flat.view(np.int64))], names=[*batch.schema.names[:-1], "k", "own", "mark"])
+
+    return run
+
+
+def page_candidates(left: DataFrame, right: DataFrame, page: list[str], threshold: float) -> DataFrame:
+    """page columns, q, t: distinct texts of a page that can reach the threshold, without pairing the whole page.
+
+    ``left``: page columns and q, ``right``: page columns and t, distinct and not null. A score of ``threshold``
+    or more needs a common run of that share of the shorter normalized text, in characters without blanks
+    or in tokens, so both share a winnowed window of the shorter one's size; windows meet by an equi-join on
+    page, size and fingerprint. Texts too short for windows (some ten characters) are the only ones paired
+    with their page.
+    """
+    norm = lambda df, c: df.withColumn("n", normalize_text(c)).withColumn("bare", F.char_length(F.regexp_replace("n", r"\s", ""))).withColumn("h", F.xxhash64(c))
+    l, r = norm(left, "q"), norm(right, "t")
+    kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in page)
+    schema = f"{kinds}, h long, k int, own boolean, mark long"
+    ls = l.select(*page, "h", "n").mapInArrow(_seeds(threshold), schema).withColumnRenamed("h", "lh").withColumnRenamed("own", "lo")
+    rs = r.select(*page, "h", "n").mapInArrow(_seeds(threshold), schema).withColumnRenamed("h", "rh").withColumnRenamed("own", "ro")
+    met = ls.join(rs, [*page, "k", "mark"]).where("lo or ro").select(*page, "lh", "rh")
+    tiny = math.ceil((2 * MIN_WINDOW - 1) / max(threshold, 1e-9))
+    side = lambda df, h, c: df.where(c).select(*page, F.col("h").alias(h))
+    small, any_ = F.col("bare") <= tiny, F.lit(True)
+    met = met.union(side(l, "lh", small).join(side(r, "rh", any_), page)).union(side(l, "lh", any_).join(side(r, "rh", small), page)).distinct()
+    lt, rt = l.select(*page, "q", F.col("h").alias("lh")), r.select(*page, "t", F.col("h").alias("rh"))
+    return met.join(lt, [*page, "lh"]).join(rt, [*page, "rh"]).select(*page, "q", "t")
+
+
 def best_field(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Best score of several field pairs of the same two rows; the lower ``field_order`` wins ties."""
     best = F.max_by(F.struct("score", "method", "field_order"), F.struct("score", -F.col("field_order")))
@@ -102,7 +191,9 @@ def edges(left: DataFrame, right: DataFrame, page: list[str], left_id: str, righ
     lu, ru = l.select(*page, "q").distinct(), r.select(*page, "t").distinct()
     if not null_as_literal:
         lu, ru = lu.where("q is not null"), ru.where("t is not null")
-    scored = score_pairs(lu.join(ru, page), "q", "t", fuzzy_stage, null_as_literal, threshold).where(F.col("score") >= threshold)
+    # with literal nulls or without a threshold every pair of the page counts
+    pairs = lu.join(ru, page) if null_as_literal or threshold <= 0 else page_candidates(lu, ru, page, threshold)
+    scored = score_pairs(pairs, "q", "t", fuzzy_stage, null_as_literal, threshold).where(F.col("score") >= threshold)
     if only:
         scored = scored.where(F.col("method").isin(*only))
     same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,38 @@ def test_pruned_fuzzy_equals_the_full_search(seed):
     assert pruned == full if full[0] >= 0.8 else pruned[0] < 0.8
 
 
+def test_seeded_candidates_lose_no_pair(spark):
+    rng = random.Random(11)
+    words = "the central bank limits offline payment mode for merchants in three regions after a public review of fees and rules".split()
+    make = lambda: " ".join(rng.choices(words, k=rng.randint(1, 18)))
+    left = [make() for _ in range(60)] + ["a", "—", "", "bank", "x" * 50]
+    right = []
+    for t in left:
+        cut = t.split()
+        if cut and rng.random() < 0.7:
+            cut[rng.randrange(len(cut))] = rng.choice(words)
+        if rng.random() < 0.3:
+            cut = rng.choices(words, k=rng.randint(1, 30)) + cut
+        right.append((" " if rng.random() < 0.8 else "").join(cut))
+    cols = "doc string, page int, id string, v string"
+    a = spark.createDataFrame([("d", 1 if i % 5 else None, f"a{i}", t) for i, t in enumerate(left)], cols)
+    b = spark.createDataFrame([("d", 1 if i % 5 else 2, f"b{i}", t) for i, t in enumerate(right)], cols)
+    for threshold in (0.8, 0.5):
+        got = {(r.l, r.r): round(r.score, 9) for r in textmatch.edges(a, b, ["doc", "page"], "id", "id", ["v"], ["v"], threshold).collect()}
+        every = a.select("doc", "page", "id", "v").join(b.select("doc", "page", F.col("id").alias("rid"), F.col("v").alias("w")), ["doc", "page"])
+        want = {(r.id, r.rid): round(r.score, 9) for r in textmatch.score_pairs(every, "v", "w").where(F.col("score") >= threshold).collect()}
+        assert got == want and want
+
+
+def test_winnowing_guarantee():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        k = int(rng.integers(2, 9))
+        shared = rng.integers(0, 4, 2 * k - 1)
+        a, b = (np.concatenate([rng.integers(0, 4, rng.integers(0, 20)), shared, rng.integers(0, 4, rng.integers(0, 20))]) for _ in range(2))
+        assert set(textmatch.winnowed(a, k).tolist()) & set(textmatch.winnowed(b, k).tolist())
+
+
 def test_score_ladder(spark):
     long_ = "the central bank limits the offline payment mode for merchants"
     rows = [
