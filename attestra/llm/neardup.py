@@ -179,9 +179,9 @@ def _equal_key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             n = len(blob) // 6
             keys.append(np.frombuffer(blob, dtype=np.uint32, count=n))
             ids.append(np.frombuffer(blob, dtype=np.uint16, count=n, offset=4 * n).astype(np.int64) + base)
-    key, cls = np.concatenate(keys), np.concatenate(ids)
-    if not len(key):
+    if not sum(map(len, keys)):
         return
+    key, cls = np.concatenate(keys), np.concatenate(ids)
     order = np.argsort(key, kind="stable")
     key, cls = key[order], cls[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -260,8 +260,8 @@ class NearDuplicates:
         total = classes.count()
         parts = max(1, -(-total * BANDS // KEYS_PER_PARTITION))
         blobs = classes.select("id", "words").mapInArrow(_band_blobs(parts), "part int, base long, blob binary")
-        blobs = blobs.repartition(parts, "part") if parts > 1 else blobs
-        found = blobs.groupBy("part").applyInArrow(_equal_key_pairs, "a long, b long")
+        # one part is one partition: no second shuffle, no sort, and no two parts in a task
+        found = blobs.repartitionById(parts, F.col("part")).mapInArrow(_equal_key_pairs, "a long, b long")
         candidates = materialize(found.distinct(), "candidates")
         self._release(spark)
         sketch = classes.select("id", "words").mapInArrow(_sketches, "id long, n int, sketch binary")
