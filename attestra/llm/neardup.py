@@ -38,6 +38,9 @@ BANDS, ROWS = 96, 9
 SKETCH = 64
 #: Words whose register codes are held at once (about 100 MB).
 MAX_VOCABULARY = 60_000
+KEPT_WORDS = 200_000
+#: Classes banded at once (offsets have 16 bits).
+BAND_ROWS = 20_000
 KEYS_PER_PARTITION = 1_500_000
 
 
@@ -89,17 +92,28 @@ def chance_collision(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Hashes(dict):
+    """Remembers the 64-bit hash of each word; only saves work."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to word-hash sets; the set goes out only with the first text of its class in this task's batch."""
+    vocabulary = _Hashes()
     for batch in batches:
-        keys, vocabulary = batch.column(0), {}
+        if len(vocabulary) > KEPT_WORDS:
+            vocabulary.clear()
+        keys = batch.column(0)
         kept, d1, d2, sets, seen = [], [], [], [], set()
         for i, text in enumerate(batch.column(1).to_pylist()):
             ws = words_of(text)
             if not ws:
                 continue
-            hs = [vocabulary.get(w) or vocabulary.setdefault(w, xxhash.xxh64_intdigest(w)) for w in ws]
-            own = np.sort(np.array(hs, dtype=np.uint64))
+            own = np.fromiter(map(vocabulary.__getitem__, ws), dtype=np.uint64, count=len(ws))
+            own.sort()
             a, b = xxhash.xxh3_64_intdigest(raw := own.tobytes()), xxhash.xxh64_intdigest(raw, seed=7)
             kept.append(i)
             d1.append(a)
@@ -139,6 +153,18 @@ def _register_matrix(words: pa.ListArray) -> np.ndarray:
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``rows`` rows, so that they share a table of codes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _consecutive(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of consecutive ids (a batch may hold the rows of several files)."""
     ids = batch.column(0).to_numpy()
@@ -150,8 +176,8 @@ def _consecutive(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 def _band_blobs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _consecutive(whole, 8192):
+        for whole in _gathered(batches, BAND_ROWS):
+            for batch in _consecutive(whole, BAND_ROWS):
                 ids = batch.column(0).to_numpy()
                 registers = _register_matrix(batch.column(1))
                 keys = np.zeros((len(ids), BANDS), dtype=np.uint64)
@@ -219,7 +245,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = small_codes(register_codes(_mix(vocabulary.astype(np.uint64), 0x14057B7EF767814F), SKETCH))
         ends = words.offsets.to_numpy()
         ends = ends - ends[0]
-        sketch = np.minimum.reduceat(codes[at], ends[:-1], axis=0) if len(ends) > 1 else np.zeros((0, SKETCH), np.uint8)
+        sketch = np.empty((len(ends) - 1, SKETCH), dtype=np.uint8)
+        for row, a, b in zip(sketch, ends.tolist(), ends[1:].tolist()):
+            np.minimum.reduce(codes[at[a:b]], axis=0, out=row)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "n", "sketch"])
 
 
