@@ -538,6 +538,22 @@ def q_exact_inference(spark, d):
     return inference.holm(out, ["variant"], "p", ["condition"])
 
 
+@query()
+def q_cluster_bootstrap(spark, d):
+    rows = _entities(spark, d).select("variant", "entity", "posture").where("posture is not null")
+    return inference.cluster_bootstrap(rows, "entity", lambda pdf: pdf.posture.mean(), 200, 20260821)
+
+
+STAGES = {"extracted": "active", "pending": "active", "failed": "paused"}
+
+
+@query("SELECT CASE prior_extraction_status WHEN 'extracted' THEN 'active' WHEN 'pending' THEN 'active' WHEN 'failed' THEN 'paused' END stage, prior_extraction_status status, count(DISTINCT doc_id) documents FROM corpus_manifest GROUP BY 1, 2")
+def q_stage_map(spark, d):
+    stages = F.broadcast(spark.createDataFrame(list(STAGES.items()), "status string, stage string"))
+    rows = read(spark, d, "corpus_manifest").select("doc_id", F.col("prior_extraction_status").alias("status")).join(stages, "status", "left")
+    return rows.groupBy("stage", "status").agg(F.count_distinct("doc_id").alias("documents"))
+
+
 # --- text matching ------------------------------------------------------------------------------------
 
 

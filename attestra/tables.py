@@ -18,10 +18,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local mode) a local folder is made
-    and set, so that a cluster run never writes to one machine's temporary disk.
+    Only in local mode (tests), and only where it is unset, a temporary folder is made and
+    set; on a cluster a missing setting is an error, as one machine's disk cannot be shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="attestra-")
         spark.conf.set("spark.checkpoint.dir", named)
