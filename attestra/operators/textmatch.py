@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.functions.scalars import normalize_text
+from attestra.tables import materialize
 
 # Shortest normalized text, least common run of tokens (short and other texts) and of characters.
 MIN_NORMALIZED, MIN_TOKENS, SHORT_SIDE, RUN_SHORT, RUN, RUN_CHARS = 12, 4, 6, 4, 6, 20
@@ -95,6 +97,22 @@ MIN_WINDOW, MIN_TOKEN_WINDOW = 4, 2
 _BASE, _INVERSE = np.uint64(0x100000001B3), np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
 
+@functools.lru_cache(maxsize=4)
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.arange(n, dtype=np.uint64)
+    return _BASE**steps, _INVERSE**steps  # wrap around, as hashes may
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    power, back = _power_tables(max(4096, 1 << (n - 1).bit_length()))
+    return power[:n], back[:n]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """As many partitions as shuffles have: small rows that cost much Python time must not be coalesced into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def winnowed(codes: np.ndarray, k: int) -> np.ndarray:
     """Fingerprints of the windows of k items that are smallest among k neighbours.
 
@@ -102,10 +120,9 @@ def winnowed(codes: np.ndarray, k: int) -> np.ndarray:
     """
     if len(codes) < k:
         return np.zeros(0, np.uint64)
-    power = _BASE ** np.arange(len(codes), dtype=np.uint64)  # wraps around, as hashes may
+    power, back = _powers(len(codes))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(0x9E3779B9)) * power)])
-    back = _INVERSE ** np.arange(len(codes) - k + 1, dtype=np.uint64)  # equal windows get equal values wherever they stand
-    h = (sums[k:] - sums[:-k]) * back
+    h = (sums[k:] - sums[:-k]) * back[: len(codes) - k + 1]  # equal windows get equal values wherever they stand
     h = (h * np.uint64(0xFF51AFD7ED558CCD)) ^ (h >> np.uint64(29))
     if len(h) <= k:
         return h.min(keepdims=True)
@@ -118,37 +135,34 @@ def window_for(run: int, smallest: int) -> int:
     return k if k >= smallest else 0
 
 
-def _sequences(text: str, threshold: float) -> list[tuple[np.ndarray, int, int, int]]:
-    """Items, smallest window, own window and sign of the sizes: characters without blanks, and tokens."""
-    tokens = text.split()
-    bare = "".join(tokens)
-    chars = np.frombuffer(bare.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = [(chars, MIN_WINDOW, window_for(math.ceil(threshold * len(bare) - 1e-9), MIN_WINDOW), 1)]
-    if len(tokens) >= MIN_TOKENS:
-        least = max(RUN_SHORT if len(tokens) <= SHORT_SIDE else RUN, math.ceil(threshold * len(tokens) - 1e-9))
-        codes = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens], dtype=np.uint32)
-        out.append((codes, MIN_TOKEN_WINDOW, window_for(least, MIN_TOKEN_WINDOW), -1))
-    return out
-
-
-def _seeds(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, sizes, roles, prints = [], [], [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for items, k, own, sign in _sequences(text, threshold):
-                    while k <= len(items):
-                        marks = winnowed(items, k)
-                        at += [i] * len(marks)
-                        sizes += [sign * k] * len(marks)
-                        roles += [k == own] * len(marks)
-                        prints.append(marks)
-                        k *= 2
-            rows = batch.take(pa.array(at, pa.int64()))
-            flat = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(sizes, pa.int32()), pa.array(roles, pa.bool_()), pa.array(flat.view(np.int64))], names=[*batch.schema.names[:-1], "k", "own", "mark"])
-
-    return run
+def own_windows(normalized: Column, threshold: float) -> Column:
+    """Window sizes of a text as the shorter side: characters without blanks (positive) and tokens (negative)."""
+    size = lambda run: F.pow(F.lit(2), F.length(F.bin(((run + 1) / 2).cast("long"))) - 1).cast("int")
+    least = lambda n: F.ceil(F.lit(threshold) * n - 1e-9).cast("long")
+    bare, tokens = F.char_length(F.replace(normalized, F.lit(" "), F.lit(""))), F.size(F.split(normalized, " "))
+    chars = size(least(bare))
+    words = size(F.greatest(F.when(tokens <= SHORT_SIDE, RUN_SHORT).otherwise(RUN), least(tokens)))
+    return F.array_compact(F.array(F.when(chars >= MIN_WINDOW, chars), F.when((tokens >= MIN_TOKENS) & (words >= MIN_TOKEN_WINDOW), -words)))
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Last columns: own sizes, the sizes in use on the page, normalized text; out: size, whether it is an own one, fingerprint."""
+    for batch in batches:
+        at, sizes, roles, prints = [], [], [], []
+        columns = [batch.column(batch.num_columns - c).to_pylist() for c in (3, 2, 1)]
+        for i, (own, used, text) in enumerate(zip(*columns)):
+            tokens = text.split(" ")
+            chars = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            codes = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens], dtype=np.uint32) if any(k < 0 for k in used) else chars
+            for k in used:
+                marks = winnowed(chars if k > 0 else codes, abs(k))
+                at += [i] * len(marks)
+                sizes += [k] * len(marks)
+                roles += [k in own] * len(marks)
+                prints.append(marks)
+        rows = batch.take(pa.array(at, pa.int64()))
+        flat = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([*rows.columns[:-3], pa.array(sizes, pa.int32()), pa.array(roles, pa.bool_()), pa.array(flat.view(np.int64))], names=[*batch.schema.names[:-3], "k", "own", "mark"])
 
 
 def page_candidates(left: DataFrame, right: DataFrame, page: list[str], threshold: float) -> DataFrame:
@@ -160,12 +174,15 @@ def page_candidates(left: DataFrame, right: DataFrame, page: list[str], threshol
     page, size and fingerprint. Texts too short for windows (some ten characters) are the only ones paired
     with their page.
     """
-    norm = lambda df, c: df.withColumn("n", normalize_text(c)).withColumn("bare", F.char_length(F.regexp_replace("n", r"\s", ""))).withColumn("h", F.xxhash64(c))
+    # normalized once, over all tasks: the table serves the sizes, the windows and the texts
+    norm = lambda df, c: materialize(spread(df).withColumn("n", normalize_text(c)), "texts").withColumns({"own": own_windows(F.col("n"), threshold), "bare": F.char_length(F.replace("n", F.lit(" "), F.lit(""))), "h": F.xxhash64(c)})
     l, r = norm(left, "q"), norm(right, "t")
+    sizes = l.select(*page, F.explode("own").alias("k")).union(r.select(*page, F.explode("own").alias("k")))
+    used = sizes.groupBy(*page).agg(F.collect_set("k").alias("used"))  # powers of two: a few per page
     kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in page)
     schema = f"{kinds}, h long, k int, own boolean, mark long"
-    ls = l.select(*page, "h", "n").mapInArrow(_seeds(threshold), schema).withColumnRenamed("h", "lh").withColumnRenamed("own", "lo")
-    rs = r.select(*page, "h", "n").mapInArrow(_seeds(threshold), schema).withColumnRenamed("h", "rh").withColumnRenamed("own", "ro")
+    made = lambda df: spread(df.join(used, page).select(*page, "h", "own", "used", "n")).mapInArrow(_seeds, schema)
+    ls, rs = made(l).withColumnsRenamed({"h": "lh", "own": "lo"}), made(r).withColumnsRenamed({"h": "rh", "own": "ro"})
     met = ls.join(rs, [*page, "k", "mark"]).where("lo or ro").select(*page, "lh", "rh")
     tiny = math.ceil((2 * MIN_WINDOW - 1) / max(threshold, 1e-9))
     side = lambda df, h, c: df.where(c).select(*page, F.col("h").alias(h))
@@ -193,7 +210,7 @@ def edges(left: DataFrame, right: DataFrame, page: list[str], left_id: str, righ
         lu, ru = lu.where("q is not null"), ru.where("t is not null")
     # with literal nulls or without a threshold every pair of the page counts
     pairs = lu.join(ru, page) if null_as_literal or threshold <= 0 else page_candidates(lu, ru, page, threshold)
-    scored = score_pairs(pairs, "q", "t", fuzzy_stage, null_as_literal, threshold).where(F.col("score") >= threshold)
+    scored = score_pairs(spread(pairs) if fuzzy_stage else pairs, "q", "t", fuzzy_stage, null_as_literal, threshold).where(F.col("score") >= threshold)
     if only:
         scored = scored.where(F.col("method").isin(*only))
     same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]

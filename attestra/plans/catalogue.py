@@ -559,7 +559,8 @@ def q_stage_map(spark, d):
 
 def _edges(spark: SparkSession, sf_dir: str, threshold: float, fuzzy: bool, only: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     st = statements(spark, sf_dir).withColumns({c: F.when(F.lower(F.trim(c)).isin("none", "null", "n/a", "-", ""), None).otherwise(F.col(c)) for c in ("quote", "quote_en")})
-    a, b = (materialize(st.where(F.col("provider") == p).select("statement_id", "doc_id", "page", "quote", "quote_en", "code1"), p) for p in PROVIDERS)
+    st = materialize(st.select("provider", "statement_id", "doc_id", "page", "quote", "quote_en", "code1"), "sides")
+    a, b = (st.where(F.col("provider") == p).drop("provider") for p in PROVIDERS)
     return a, b, textmatch.edges(a, b, ["doc_id", "page"], "statement_id", "statement_id", ["quote", "quote_en"], ["quote", "quote_en"], threshold, fuzzy, only=only)
 
 

@@ -291,7 +291,7 @@ def test_score_ladder(spark):
     rows = [
         (long_, long_, "raw_equal"), ("central bank", long_, "raw_contains"), (long_.upper() + "!", long_, "normalized_equal"), ("Central-Bank limits the", long_, "normalized_contains"),
         (long_ + " today", "Offline payment, mode for MERCHANTS", "normalized_container"), ("short", "other", "none"), (None, long_, "none"), ("  ", long_, "none"),
-        ("we say the central bank limits the offline payment now", long_, "fuzzy_token"), ("thecentralbanklimitsthe offlinepayment", long_, "normalized_contains" if False else "fuzzy_character"),
+        ("extraordinarily the central bank limits the offline payment", long_, "fuzzy_token"), ("thecentralbanklimitsthe offlinepayment", long_, "fuzzy_character"),
     ]
     out = textmatch.score_pairs(spark.createDataFrame([(a, b) for a, b, _ in rows], "q string, p string"), "q", "p").collect()
     assert [r.method for r in out] == [m for *_, m in rows]
