@@ -22,6 +22,8 @@ LEXICON = {
 # Structural signal of a code's first two parts for each goal.
 SIGNALS = {"PRIV.ANON": {"privacy": 1.0}, "PRIV.MIN": {"privacy": 0.5}, "AML.MON": {"safety": 1.0}, "AML.RISK": {"safety": 0.5}, "ACCESS.universal": {"reach": 1.0}, "CASH.relation": {"reach": 0.25}}
 PROVIDERS = ("openai", "claude")
+# Words and signs standing for a missing quote.
+PLACEHOLDERS = ("none", "null", "n/a", "-", "")
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,19 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.where("statement_id is not null").groupBy("statement_id").agg(F.max_by(F.struct(*cols), order).alias("x")).select("statement_id", "x.*")
 
 
+def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with null for placeholders in quote and quote_en."""
+    return statements(spark, sf_dir).withColumns({c: F.when(F.lower(F.trim(c)).isin(*PLACEHOLDERS), None).otherwise(F.col(c)) for c in ("quote", "quote_en")})
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, source: all texts known of a page, kept apart by a sign no quote holds."""
+    paragraphs = read(spark, sf_dir, "reference_paragraphs").select("doc_id", "page", "text")
+    documents = read(spark, sf_dir, "documents").select(F.col("manifest_doc_id").alias("doc_id"), "page", "text")
+    texts = paragraphs.union(documents).where("doc_id is not null and page is not null and text is not null").distinct()
+    return texts.groupBy("doc_id", "page").agg(F.concat_ws("\x00", F.sort_array(F.collect_list("text"))).alias("source"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per candidate with clean categories."""
     raw = read(spark, sf_dir, "candidate_mapping")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import scalars
 from attestra.operators import allocate, assign, evaluate, expectations, flatten, inference, reliability, score, survey, textmatch
-from attestra.plans.bindings import LEXICON, PROVIDERS, SIGNALS, candidates, design, entities, evidence, paragraphs, reviews, sql, statements
+from attestra.plans.bindings import LEXICON, PROVIDERS, SIGNALS, candidates, design, entities, evidence, page_texts, paragraphs, quoted, reviews, sql, statements
 from attestra.tables import materialize, read
 
 QUERIES: dict = {}
@@ -558,8 +558,7 @@ def q_stage_map(spark, d):
 
 
 def _edges(spark: SparkSession, sf_dir: str, threshold: float, fuzzy: bool, only: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    st = statements(spark, sf_dir).withColumns({c: F.when(F.lower(F.trim(c)).isin("none", "null", "n/a", "-", ""), None).otherwise(F.col(c)) for c in ("quote", "quote_en")})
-    st = materialize(st.select("provider", "statement_id", "doc_id", "page", "quote", "quote_en", "code1"), "sides")
+    st = materialize(quoted(spark, sf_dir).select("provider", "statement_id", "doc_id", "page", "quote", "quote_en", "code1"), "sides")
     a, b = (st.where(F.col("provider") == p).drop("provider") for p in PROVIDERS)
     return a, b, textmatch.edges(a, b, ["doc_id", "page"], "statement_id", "statement_id", ["quote", "quote_en"], ["quote", "quote_en"], threshold, fuzzy, only=only)
 
@@ -622,10 +621,18 @@ def q_candidate_union(spark, d):
     "st",
 )
 def q_span_fidelity(spark, d):
+    """The part SQL can check: ASCII quotes against their translation. ``q_span_fidelity_all`` is the measure."""
     st = statements(spark, d).where("quote is not null").withColumn("src", F.coalesce("quote_en", F.lit(""))).where(~F.concat("quote", "src").rlike(r"[^\x00-\x7F]"))
     return evaluate.span_fidelity(st.withColumn("rendered", F.col("source_mode") != "text"), "quote", "src", "rendered").select("supported", "unsupported", "render_review", *r6("fidelity"), "gate")
 
 
+@query()
+def q_span_fidelity_all(spark, d):
+    """All statements in all scripts against the texts of their page; without a quote or a text nothing is supported."""
+    rows = quoted(spark, d).select("doc_id", "page", "quote", (F.col("source_mode") != "text").alias("rendered")).join(page_texts(spark, d), ["doc_id", "page"], "left")
+    return evaluate.span_fidelity(rows, "quote", "source", "rendered").select("supported", "unsupported", "render_review", *r6("fidelity"), "gate")
+
+
 # --- checks and manifests -----------------------------------------------------------------------------
 
 

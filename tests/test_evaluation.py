@@ -1,0 +1,45 @@
+"""Evaluation queries on small tables whose results are known."""
+
+import unicodedata
+from datetime import datetime
+
+import pytest
+
+from attestra.plans import catalogue, pipelines
+
+QUERIES = catalogue.queries()
+STATEMENTS = "record_id long, statement_id string, provider string, unit_id string, doc_id string, page int, quote string, quote_en string, code1 string, odr string, privacy_direction string, privacy_relation string, strength int, source_mode string, received_at timestamp_ntz"
+REFERENCE = "ref_id long, gold_id string, paragraph_id string, doc_id string, page int, text string, stratum string, reference_truth string, reference_code string"
+DOCUMENTS = "doc_id long, text string, manifest_doc_id string, page int"
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Writes statements (provider, doc, page, quote, quote_en, code, mode), paragraphs (doc, page, text, stratum, truth, code) and documents (doc, page, text)."""
+
+    def write(statements, reference=(), documents=()):
+        rows = [(i, f"{p}:{i}", p, "u", d, n, q, e, c, None, None, None, None, m, datetime(2025, 1, 1)) for i, (p, d, n, q, e, c, m) in enumerate(statements)]
+        refs = [(i, f"{d}-{n}", f"P{i}", d, n, t, s, k, c) for i, (d, n, t, s, k, c) in enumerate(reference)]
+        docs = [(i, t, d, n) for i, (d, n, t) in enumerate(documents)]
+        for name, data, schema in (("provider_outputs", rows, STATEMENTS), ("reference_paragraphs", refs, REFERENCE), ("documents", docs, DOCUMENTS)):
+            spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def test_fidelity_counts_every_script_and_every_statement(spark, tables):
+    sources = {("d", 1): ["Der Schlüs-\nsel bleibt privat.", "Приватність  понад усе"], ("d", 2): ["現金と同じ匿名性", "ﬁnal text"], ("e", 1): ["plain words"]}
+    quotes = [
+        ("d", 1, "Der Schlüssel bleibt", "text"), ("d", 1, "Приватність понад\nусе", "text"), ("d", 1, "privat. Приватність", "text"), ("d", 2, "同じ匿名性", "render"), ("d", 2, "final text", "text"),
+        ("d", 2, "é", "render"), ("e", 1, "plain words", "text"), ("e", 1, None, "text"), ("e", 1, "-", "text_and_render"), ("f", 9, "naïve", "text"), ("f", 9, "naïve", None),
+    ]
+    where = tables([("openai", d, n, q, q, "A", m) for d, n, q, m in quotes], [("d", 1, t, "probability", "negative", None) for t in sources["d", 1]], [(*k, t) for k in (("d", 2), ("e", 1)) for t in sources[k]])
+    span = lambda s: "".join(unicodedata.normalize("NFKC", s).replace("-\n", "").split())
+    want = {"supported": 0, "unsupported": 0, "render_review": 0}
+    for d, n, q, m in quotes:
+        found = q not in (None, "-") and any(span(q) in span(t) for t in sources.get((d, n), []))
+        want["supported" if found else "render_review" if m not in (None, "text") else "unsupported"] += 1
+    got = QUERIES["q_span_fidelity_all"](spark, where).first().asDict()
+    assert {k: got[k] for k in want} == want and sum(want.values()) == len(quotes) and want["supported"] == 5
+    assert pipelines.EVALUATION["fidelity"] == "q_span_fidelity_all"
