@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions.scalars import annotation, entity_prefix
-from attestra.operators import flatten
-from attestra.tables import read
+from attestra.operators import assign, flatten, textmatch
+from attestra.tables import materialize, read
 
 # Patterns counted by the lexical scores of the queries (one point per pattern that matches).
 LEXICON = {
@@ -22,6 +22,8 @@ LEXICON = {
 # Structural signal of a code's first two parts for each goal.
 SIGNALS = {"PRIV.ANON": {"privacy": 1.0}, "PRIV.MIN": {"privacy": 0.5}, "AML.MON": {"safety": 1.0}, "AML.RISK": {"safety": 0.5}, "ACCESS.universal": {"reach": 1.0}, "CASH.relation": {"reach": 0.25}}
 PROVIDERS = ("openai", "claude")
+# Least score of a statement and a paragraph, or of two statements, that count as the same text.
+MATCH = 0.8
 # Words and signs standing for a missing quote.
 PLACEHOLDERS = ("none", "null", "n/a", "-", "")
 
@@ -68,11 +70,39 @@ def pages_with(spark: SparkSession, sf_dir: str, provider: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference paragraphs with the truth and what each provider found on their page."""
+    """Reference paragraphs with the truth and whether each provider has anything on their page, whatever its text: what SQL can check."""
     ref = read(spark, sf_dir, "reference_paragraphs").select("ref_id", "doc_id", "page", "stratum", F.col("reference_truth").alias("truth"), "reference_code")
     for p in PROVIDERS:
         ref = ref.join(pages_with(spark, sf_dir, p), ["doc_id", "page"], "left").withColumn(f"found_{p}", F.col(f"code_{p}").isNotNull())
-    return ref.withColumn("found_any", F.col("found_openai") | F.col("found_claude")).withColumn("found_code", F.coalesce("code_openai", "code_claude"))
+    ref = ref.withColumn("found_any", F.col("found_openai") | F.col("found_claude")).withColumn("found_code", F.coalesce("code_openai", "code_claude"))
+    return ref.withColumn("code_hit", F.col("reference_code") == F.col("found_code"))
+
+
+def assigned_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements on pages of the reference, each with the text of the paragraph it is assigned to.
+
+    One to one per provider and page, by the texts; a paragraph listed twice is one paragraph. ``text`` and
+    ``truth`` (that of the paragraph's first listing) are null for statements that got none.
+    """
+    page = ["doc_id", "page"]
+    ref = read(spark, sf_dir, "reference_paragraphs").select("ref_id", *page, "text", F.col("reference_truth").alias("truth"))
+    texts = ref.where("text is not null").groupBy(*page, "text").agg(F.min("ref_id").alias("par"), F.coalesce(F.min_by("truth", "ref_id"), F.lit("")).alias("truth"))
+    st = quoted(spark, sf_dir).select("provider", "statement_id", *page, "quote", "quote_en", "code1")
+    st = materialize(st.join(ref.select(*page).distinct(), page, "left_semi"), "statements")
+    found = textmatch.edges(st, texts, page, "statement_id", "par", ["quote", "quote_en"], ["text"], MATCH)
+    found = found.join(st.select(F.col("statement_id").alias("l"), "provider"), "l")
+    pairs = assign.assign(found, ["provider", *page]).select(F.col("l").alias("statement_id"), F.col("r").alias("par"))
+    return st.join(pairs, "statement_id", "left").join(texts.select("par", "text", "truth"), "par", "left").drop("par")
+
+
+def matched_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference paragraphs with the truth and whether a statement of each provider is assigned to them; every listing of a paragraph gets the same answer."""
+    ref = read(spark, sf_dir, "reference_paragraphs").select("ref_id", "doc_id", "page", "text", "stratum", F.col("reference_truth").alias("truth"), "reference_code")
+    code = [F.max(F.when(F.col("provider") == p, F.struct(F.coalesce("code1", F.lit("")).alias("c"))))["c"].alias(f"code_{p}") for p in PROVIDERS]
+    got = assigned_statements(spark, sf_dir).where("text is not null").groupBy("doc_id", "page", "text").agg(*code)
+    ref = ref.join(got, ["doc_id", "page", "text"], "left").withColumns({f"found_{p}": F.col(f"code_{p}").isNotNull() for p in PROVIDERS})
+    hit = F.coalesce(F.col("code_openai") == F.col("reference_code"), F.lit(False)) | F.coalesce(F.col("code_claude") == F.col("reference_code"), F.lit(False))
+    return ref.drop("text").withColumn("found_any", F.col("found_openai") | F.col("found_claude")).withColumn("code_hit", hit)
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import scalars
 from attestra.operators import allocate, assign, evaluate, expectations, flatten, inference, reliability, score, survey, textmatch
-from attestra.plans.bindings import LEXICON, PROVIDERS, SIGNALS, candidates, design, entities, evidence, page_texts, paragraphs, quoted, reviews, sql, statements
+from attestra.plans.bindings import LEXICON, MATCH, PROVIDERS, SIGNALS, assigned_statements, candidates, design, entities, evidence, matched_paragraphs, page_texts, paragraphs, quoted, reviews, sql, statements
 from attestra.tables import materialize, read
 
 QUERIES: dict = {}
@@ -287,8 +287,12 @@ def _rated(df: DataFrame, *keys: str) -> DataFrame:
 
 @query(", c AS (SELECT unnest(['openai', 'claude', 'any']) who, unnest([found_openai, found_claude, found_any]) p, truth FROM par), k AS (SELECT who, " + CONFUSION.format(p="p") + f" FROM c GROUP BY 1) SELECT *, {RATES} FROM k", "par")
 def q_confusion_overall(spark, d):
+    return _confusion_overall(paragraphs(spark, d))
+
+
+def _confusion_overall(par: DataFrame) -> DataFrame:
     who = F.explode(F.array(*[F.struct(F.lit(w).alias("who"), F.col(f"found_{w}").alias("p")) for w in ("openai", "claude", "any")])).alias("x")
-    return _rated(evaluate.confusion(paragraphs(spark, d).select("truth", who).select("truth", "x.*"), "p", by=["who"]), "who")
+    return _rated(evaluate.confusion(par.select("truth", who).select("truth", "x.*"), "p", by=["who"]), "who")
 
 
 @query(", k AS (SELECT stratum, " + CONFUSION.format(p="found_any") + f" FROM par WHERE stratum IS NOT NULL GROUP BY ROLLUP (stratum)) SELECT *, {RATES} FROM k", "par")
@@ -339,7 +343,7 @@ def q_gates(spark, d):
     stress, coded = F.col("stratum") == "stress_long", pos & (F.col("reference_code") != "")
     ratio = lambda a, b: F.try_divide(F.count_if(a).cast("double"), F.count_if(b))
     recall = ratio(prob & pos & found, prob & pos)
-    m = par.agg(recall.alias("recall"), recall.alias("recall_low"), ratio(prob & pos & found, prob & found & F.col("truth").isin("positive", "negative")).alias("precision"), ratio(stress & pos & found, stress & pos).alias("stress_recall"), F.count_if(stress & pos).alias("stress_positives"), ratio(found, pos).alias("workload"), F.count_if(coded).alias("coded"), ratio(coded & (F.col("reference_code") == F.col("found_code")), coded).alias("code_recall"))
+    m = par.agg(recall.alias("recall"), recall.alias("recall_low"), ratio(prob & pos & found, prob & found & F.col("truth").isin("positive", "negative")).alias("precision"), ratio(stress & pos & found, stress & pos).alias("stress_recall"), F.count_if(stress & pos).alias("stress_positives"), ratio(found, pos).alias("workload"), F.count_if(coded).alias("coded"), ratio(coded & F.col("code_hit"), coded).alias("code_recall"))
     return evaluate.gates(m).select(*r6("recall", "precision", "stress_recall"), "stress_positives", *r6("workload"), "coded", *r6("code_recall"), "e1", "e2", "e3", "c1")
 
 
@@ -358,6 +362,34 @@ def q_outcome_labels(spark, d):
     return paragraphs(spark, d).select("ref_id", scalars.outcome("truth", "found_any").alias("outcome"))
 
 
+# the same measures of paragraphs matched by their texts, which SQL cannot express
+
+
+@query()
+def q_matched_confusion(spark, d):
+    return _confusion_overall(matched_paragraphs(spark, d))
+
+
+@query()
+def q_matched_confusion_by_stratum(spark, d):
+    return _rated(evaluate.confusion_rollup(matched_paragraphs(spark, d), "found_any", "stratum"), "stratum")
+
+
+@query()
+def q_matched_confusion_page(spark, d):
+    return _rated(evaluate.page_confusion(matched_paragraphs(spark, d), "found_any", ["doc_id", "page"]))
+
+
+@query()
+def q_matched_coverage(spark, d):
+    return evaluate.coverage(matched_paragraphs(spark, d).withColumnRenamed("reference_code", "label"), "label", "found_any").select("label", "matched", "total", *r6("share"))
+
+
+@query()
+def q_matched_outcomes(spark, d):
+    return matched_paragraphs(spark, d).select("ref_id", scalars.outcome("truth", "found_any").alias("outcome"))
+
+
 # --- reliability and survey ---------------------------------------------------------------------------
 
 PAIRS = {"inclusion": "inclusion_decision", "code": "final_code1", "family": "family", "odr": "final_odr", "direction": "privacy_direction", "relation": "privacy_relation", "strength": "strength"}
@@ -500,9 +532,16 @@ def q_bootstrap_confusion(spark, d):
     return out.select(*r6(*out.columns))
 
 
+@query()
+def q_matched_bootstrap(spark, d):
+    totals = evaluate.cluster_totals(matched_paragraphs(spark, d).where("stratum = 'probability'"), "found_any", "doc_id")
+    out = inference.bootstrap_confusion(materialize(totals, "totals"), "doc_id", 2000, "b1")
+    return out.select(*r6(*out.columns))
+
+
 @query()
 def q_bootstrap_poisson(spark, d):
-    totals = evaluate.cluster_totals(paragraphs(spark, d), "found_any", "doc_id")
+    totals = evaluate.cluster_totals(matched_paragraphs(spark, d), "found_any", "doc_id")
     out = inference.bootstrap_confusion(totals, "doc_id", 2000, "b2", poisson=True)
     return out.select(*r6(*out.columns))
 

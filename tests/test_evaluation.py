@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 
 from attestra.plans import catalogue, pipelines
+from attestra.plans.bindings import matched_paragraphs
 
 QUERIES = catalogue.queries()
 STATEMENTS = "record_id long, statement_id string, provider string, unit_id string, doc_id string, page int, quote string, quote_en string, code1 string, odr string, privacy_direction string, privacy_relation string, strength int, source_mode string, received_at timestamp_ntz"
@@ -43,3 +44,25 @@ def test_fidelity_counts_every_script_and_every_statement(spark, tables):
     got = QUERIES["q_span_fidelity_all"](spark, where).first().asDict()
     assert {k: got[k] for k in want} == want and sum(want.values()) == len(quotes) and want["supported"] == 5
     assert pipelines.EVALUATION["fidelity"] == "q_span_fidelity_all"
+
+
+TEXTS = ["Offline payments keep the buyer anonymous towards the bank.", "The central bank audits every intermediary once a year.", "Rural merchants receive a terminal free of charge this spring.", "Nothing on this page is about money at all, says the author."]
+
+
+def reference(page=1, doc="d"):
+    return [(doc, page, TEXTS[0], "probability", "positive", "A.x"), (doc, page, TEXTS[1], "probability", "positive", "B.y"), (doc, page, TEXTS[2], "probability", "negative", None), (doc, page, TEXTS[3], "probability", "excluded", None)]
+
+
+def test_paragraphs_are_found_by_their_text_not_their_page(spark, tables):
+    said = [
+        ("openai", "d", 1, TEXTS[0], None, "Z.z", "text"), ("claude", "d", 1, "Offline payments keep the buyer ANONYMOUS towards", None, "A.x", "text"),
+        ("claude", "d", 1, "Zahlungen", TEXTS[3], "A.x", "text"), ("openai", "d", 1, "an unrelated statement about something else entirely", None, "B.y", "text"), ("openai", "d", 2, TEXTS[1], None, "B.y", "text"),
+    ]
+    again = ("d", 1, TEXTS[0], "probability", "positive", "A.x")  # listed twice: both get the answer of the one paragraph
+    where = tables(said, [*reference(), again])
+    assert {r.ref_id: r.outcome for r in QUERIES["q_matched_outcomes"](spark, where).collect()} == {0: "TP", 1: "FN", 2: "TN", 3: "excluded", 4: "TP"}
+    got = {r.who: (r.tp, r.fp, r.fn, r.tn) for r in QUERIES["q_matched_confusion"](spark, where).collect()}
+    assert got == {w: (2, 0, 1, 1) for w in ("openai", "claude", "any")}
+    hits = {r.ref_id: r.code_hit for r in matched_paragraphs(spark, where).collect()}
+    assert hits == {0: True, 1: False, 2: False, 3: False, 4: True}
+    assert {"q_confusion_overall", "q_confusion_by_stratum", "q_confusion_page", "q_bootstrap_confusion", "q_positive_coverage"}.isdisjoint(pipelines.EVALUATION.values())
