@@ -338,13 +338,23 @@ def q_macro_prf(spark, d):
     "par",
 )
 def q_gates(spark, d):
-    par = paragraphs(spark, d)
+    """The part SQL can check: the point recall as its own bound, found paragraphs as workload. ``q_matched_gates`` has the gates."""
+    m = _gate_measures(paragraphs(spark, d)).withColumns({"recall_low": F.col("recall"), "workload": F.try_divide(F.col("found").cast("double"), F.col("positives"))})
+    return _gates(m)
+
+
+def _gate_measures(par: DataFrame) -> DataFrame:
     pos, prob, found = F.col("truth") == "positive", F.col("stratum") == "probability", F.col("found_any")
     stress, coded = F.col("stratum") == "stress_long", pos & (F.col("reference_code") != "")
     ratio = lambda a, b: F.try_divide(F.count_if(a).cast("double"), F.count_if(b))
-    recall = ratio(prob & pos & found, prob & pos)
-    m = par.agg(recall.alias("recall"), recall.alias("recall_low"), ratio(prob & pos & found, prob & found & F.col("truth").isin("positive", "negative")).alias("precision"), ratio(stress & pos & found, stress & pos).alias("stress_recall"), F.count_if(stress & pos).alias("stress_positives"), ratio(found, pos).alias("workload"), F.count_if(coded).alias("coded"), ratio(coded & F.col("code_hit"), coded).alias("code_recall"))
-    return evaluate.gates(m).select(*r6("recall", "precision", "stress_recall"), "stress_positives", *r6("workload"), "coded", *r6("code_recall"), "e1", "e2", "e3", "c1")
+    return par.agg(
+        ratio(prob & pos & found, prob & pos).alias("recall"), ratio(prob & pos & found, prob & found & F.col("truth").isin("positive", "negative")).alias("precision"), ratio(stress & pos & found, stress & pos).alias("stress_recall"),
+        F.count_if(stress & pos).alias("stress_positives"), F.count_if(found).alias("found"), F.count_if(pos).alias("positives"), F.count_if(coded).alias("coded"), ratio(coded & F.col("code_hit"), coded).alias("code_recall"),
+    )
+
+
+def _gates(measures: DataFrame, *more: str) -> DataFrame:
+    return evaluate.gates(measures).select(*r6("recall", *more, "precision", "stress_recall"), "stress_positives", *r6("workload"), "coded", *r6("code_recall"), "e1", "e2", "e3", "c1")
 
 
 @query(
@@ -390,6 +400,18 @@ def q_matched_outcomes(spark, d):
     return matched_paragraphs(spark, d).select("ref_id", scalars.outcome("truth", "found_any").alias("outcome"))
 
 
+@query()
+def q_matched_gates(spark, d):
+    """E1 with the lower bound of the document bootstrap, E3 with the statements left after matching both providers, on pages of the reference."""
+    par = materialize(matched_paragraphs(spark, d), "paragraphs")
+    totals = evaluate.cluster_totals(par.where("stratum = 'probability'"), "found_any", "doc_id")
+    low = inference.bootstrap_confusion(materialize(totals, "totals"), "doc_id", 2000, "b1").select("recall_low")
+    a, b, e = _edges(spark, d, MATCH, True, pages=par.select("doc_id", "page").distinct())
+    left = assign.overlap_summary(a, b, assign.assign(e, ["doc_id", "page"]), "statement_id", "statement_id", "code1").select("workload")
+    m = _gate_measures(par).join(low, F.lit(True)).join(left, F.lit(True))
+    return _gates(m.withColumn("workload", F.try_divide(F.col("workload").cast("double"), F.col("positives"))), "recall_low")
+
+
 # --- reliability and survey ---------------------------------------------------------------------------
 
 PAIRS = {"inclusion": "inclusion_decision", "code": "final_code1", "family": "family", "odr": "final_odr", "direction": "privacy_direction", "relation": "privacy_relation", "strength": "strength"}
@@ -596,8 +618,9 @@ def q_stage_map(spark, d):
 # --- text matching ------------------------------------------------------------------------------------
 
 
-def _edges(spark: SparkSession, sf_dir: str, threshold: float, fuzzy: bool, only: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    st = materialize(quoted(spark, sf_dir).select("provider", "statement_id", "doc_id", "page", "quote", "quote_en", "code1"), "sides")
+def _edges(spark: SparkSession, sf_dir: str, threshold: float, fuzzy: bool, only: list[str] | None = None, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    st = quoted(spark, sf_dir).select("provider", "statement_id", "doc_id", "page", "quote", "quote_en", "code1")
+    st = materialize(st if pages is None else st.join(pages, ["doc_id", "page"], "left_semi"), "sides")
     a, b = (st.where(F.col("provider") == p).drop("provider") for p in PROVIDERS)
     return a, b, textmatch.edges(a, b, ["doc_id", "page"], "statement_id", "statement_id", ["quote", "quote_en"], ["quote", "quote_en"], threshold, fuzzy, only=only)
 

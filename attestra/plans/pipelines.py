@@ -18,7 +18,7 @@ ENSEMBLE = {
     "calibrated": "q_entity_calibrated", "dominance": "q_dominant_centre", "composition": "q_composition_pivot", "correlations": "q_macro_corr", "inference": "q_exact_inference", "ranking": "q_rank_posture",
 }
 EVALUATION = {
-    "confusion": "q_matched_confusion", "confusion_by_stratum": "q_matched_confusion_by_stratum", "confusion_by_page": "q_matched_confusion_page", "bootstrap": "q_matched_bootstrap", "gates": "q_gates",
+    "confusion": "q_matched_confusion", "confusion_by_stratum": "q_matched_confusion_by_stratum", "confusion_by_page": "q_matched_confusion_page", "bootstrap": "q_matched_bootstrap", "gates": "q_matched_gates",
     "assignments": "q_one_to_one", "overlap": "q_cross_overlap", "fidelity": "q_span_fidelity_all", "coverage": "q_matched_coverage",
 }
 AUDIT = {

@@ -66,3 +66,14 @@ def test_paragraphs_are_found_by_their_text_not_their_page(spark, tables):
     hits = {r.ref_id: r.code_hit for r in matched_paragraphs(spark, where).collect()}
     assert hits == {0: True, 1: False, 2: False, 3: False, 4: True}
     assert {"q_confusion_overall", "q_confusion_by_stratum", "q_confusion_page", "q_bootstrap_confusion", "q_positive_coverage"}.isdisjoint(pipelines.EVALUATION.values())
+
+
+def test_gates_use_the_lower_bound_and_the_matched_workload(spark, tables):
+    """27 of 30 positives found (recall 0.90), all misses in one document, so many draws fall far below."""
+    texts = [(f"d{i}", t) for i in range(9) for t in TEXTS[:3]]
+    refs = [(d, 1, t, "probability", "positive", "A") for d, t in texts] + [("big", 1, t, "probability", "positive", "A") for t in TEXTS[:3]]
+    said = [(p, d, 1, t, None, "A", "text") for d, t in texts for p in ("openai", "claude")] + [("openai", "d0", 1, "something the reference does not hold at all", None, "A", "text"), ("claude", "elsewhere", 1, TEXTS[0], None, "A", "text")]
+    got = QUERIES["q_matched_gates"](spark, tables(said, refs)).first()
+    assert got.recall == 0.9 and got.recall_low < 0.85 and got.e1 == "fail"
+    assert got.workload == round(28 / 30, 6) and got.code_recall == 0.9 and (got.e3, got.c1) == ("pass", "pass")
+    assert pipelines.EVALUATION["gates"] == "q_matched_gates"
