@@ -580,6 +580,12 @@ def q_permutation_p(spark, d):
     return inference.permutation_test(rows, "entity", "x", "y", 500, "p1").select(*r6("r"), "n", *r6("p"))
 
 
+@query()
+def q_permutation_full(spark, d):
+    rows = materialize(_conditions(spark, d).where("variant = 'ensemble' and condition = 'pages'"), "tests")
+    return inference.permutation_test(rows, "entity", "x", "y", 10_000, "p1").select(*r6("r"), "n", *r6("p"))
+
+
 @query(
     """, g AS (SELECT split_part(sample_stratum, '|', 2) origin, split_part(sample_stratum, '|', 1) AS language, round(1 - avg(martin), 6) p FROM rev WHERE martin IS NOT NULL GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY p, language) i, count(*) OVER (PARTITION BY origin) m FROM g)
@@ -595,14 +601,14 @@ def q_holm(spark, d):
 @query()
 def q_exact_inference(spark, d):
     rows = _conditions(spark, d).withColumn("seed", F.concat_ws("|", "variant", "condition"))
-    out = inference.exact_inference(rows, ["variant", "condition"], "x", "y", "seed", 1000)
+    out = inference.exact_inference(rows, ["variant", "condition"], "x", "y", "seed", 10_000)
     return inference.holm(out, ["variant"], "p", ["condition"])
 
 
 @query()
 def q_cluster_bootstrap(spark, d):
     rows = _entities(spark, d).select("variant", "entity", "posture").where("posture is not null")
-    return inference.cluster_bootstrap(rows, "entity", lambda pdf: pdf.posture.mean(), 200, 20260821)
+    return inference.cluster_bootstrap(rows, "entity", lambda pdf: pdf.posture.mean(), 2000, 20260821)
 
 
 STAGES = {"extracted": "active", "pending": "active", "failed": "paused"}

@@ -77,3 +77,15 @@ def test_gates_use_the_lower_bound_and_the_matched_workload(spark, tables):
     assert got.recall == 0.9 and got.recall_low < 0.85 and got.e1 == "fail"
     assert got.workload == round(28 / 30, 6) and got.code_recall == 0.9 and (got.e3, got.c1) == ("pass", "pass")
     assert pipelines.EVALUATION["gates"] == "q_matched_gates"
+
+
+def test_draws_are_those_of_the_method(spark, small, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(catalogue, "_conditions", lambda *a: spark.createDataFrame([("ensemble", "pages", "e", 1.0, 2.0)], "variant string, condition string, entity string, x double, y double"))
+    monkeypatch.setattr(catalogue, "_entities", lambda *a: spark.createDataFrame([("ensemble", "e", 1.0)], "variant string, entity string, posture double"))
+    for name, at in (("exact_inference", 5), ("cluster_bootstrap", 3), ("permutation_test", 4)):
+        real = getattr(catalogue.inference, name)
+        monkeypatch.setattr(catalogue.inference, name, lambda *a, name=name, at=at, real=real: (asked.__setitem__(name, a[at]), real(*a))[1])
+    for q in ("q_exact_inference", "q_cluster_bootstrap", "q_permutation_full"):
+        QUERIES[q](spark, small)
+    assert asked == {"exact_inference": 10_000, "cluster_bootstrap": 2000, "permutation_test": 10_000}
