@@ -170,7 +170,7 @@ def q_paginate(spark, d):
 def q_canonical_quotes(spark, d):
     st = statements(spark, d).select("statement_id", "doc_id", "page", "quote", (F.col("source_mode") != "text").alias("rendered"))
     pages = read(spark, d, "reference_paragraphs").groupBy("doc_id", "page").agg(F.concat_ws("\n\n", F.sort_array(F.collect_list("text"))).alias("source"))
-    return flatten.canonical_quotes(st.join(pages, ["doc_id", "page"]), "quote", "source", "rendered").select("statement_id", "quote_status", "quote_span")
+    return flatten.canonical_quotes(st.join(pages, ["doc_id", "page"], "left"), "quote", "source", "rendered").select("statement_id", "quote_status", "quote_span")
 
 
 # --- scores -------------------------------------------------------------------------------------------

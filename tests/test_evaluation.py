@@ -89,3 +89,9 @@ def test_draws_are_those_of_the_method(spark, small, monkeypatch):
     for q in ("q_exact_inference", "q_cluster_bootstrap", "q_permutation_full"):
         QUERIES[q](spark, small)
     assert asked == {"exact_inference": 10_000, "cluster_bootstrap": 2000, "permutation_test": 10_000}
+
+
+def test_every_statement_gets_a_quote_status(spark, tables):
+    said = [("openai", "d", 1, TEXTS[0], None, "A", "text"), ("openai", "d", 9, TEXTS[0], None, "A", "text"), ("claude", "d", 9, TEXTS[0], None, "A", "render"), ("claude", "d", 9, None, None, "A", None)]
+    got = {r.statement_id: r.quote_status for r in QUERIES["q_canonical_quotes"](spark, tables(said, reference())).collect()}
+    assert got == {"openai:0": "exact", "openai:1": "unsupported", "claude:2": "render", "claude:3": "unsupported"}
