@@ -95,3 +95,12 @@ def test_every_statement_gets_a_quote_status(spark, tables):
     said = [("openai", "d", 1, TEXTS[0], None, "A", "text"), ("openai", "d", 9, TEXTS[0], None, "A", "text"), ("claude", "d", 9, TEXTS[0], None, "A", "render"), ("claude", "d", 9, None, None, "A", None)]
     got = {r.statement_id: r.quote_status for r in QUERIES["q_canonical_quotes"](spark, tables(said, reference())).collect()}
     assert got == {"openai:0": "exact", "openai:1": "unsupported", "claude:2": "render", "claude:3": "unsupported"}
+
+
+def test_prototypes_are_bundled_again_three_times(monkeypatch):
+    from attestra.llm import languages
+
+    made, real = [], languages._bundle
+    monkeypatch.setattr(languages, "_bundle", lambda counts: made.append(1) or real(counts))
+    languages.train([("en", "The bank keeps the ledger of all payments.")])
+    assert len(made) == 1 + 3
