@@ -77,9 +77,9 @@ def gates(measures: DataFrame) -> DataFrame:
     )
 
 
-def alignment(records: DataFrame, truth: str = "truth") -> DataFrame:
+def alignment(records: DataFrame, truth: str = "truth", by: Sequence[str] = ()) -> DataFrame:
     """Assigned statements by truth, unassigned ones (null truth) and precision with those as false positives."""
-    out = records.agg(*[F.count_if(F.col(truth) == t).alias(f"assigned_{t}") for t in ("positive", "negative", "excluded")], F.count_if(F.col(truth).isNull()).alias("unassigned"))
+    out = records.groupBy(*by).agg(*[F.count_if(F.col(truth) == t).alias(f"assigned_{t}") for t in ("positive", "negative", "excluded")], F.count_if(F.col(truth).isNull()).alias("unassigned"))
     return out.withColumn("conservative_precision", F.try_divide(F.col("assigned_positive").cast("double"), F.col("assigned_positive") + F.col("assigned_negative") + F.col("unassigned")))
 
 

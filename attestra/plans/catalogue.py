@@ -412,6 +412,13 @@ def q_matched_gates(spark, d):
     return _gates(m.withColumn("workload", F.try_divide(F.col("workload").cast("double"), F.col("positives"))), "recall_low")
 
 
+@query()
+def q_alignment(spark, d):
+    """Statements on pages of the reference by the truth of the paragraph they are assigned to, of each provider and of both."""
+    rows = assigned_statements(spark, d).select(F.explode(F.array("provider", F.lit("any"))).alias("who"), "truth")
+    return evaluate.alignment(rows, by=["who"]).select("who", "assigned_positive", "assigned_negative", "assigned_excluded", "unassigned", *r6("conservative_precision"))
+
+
 # --- reliability and survey ---------------------------------------------------------------------------
 
 PAIRS = {"inclusion": "inclusion_decision", "code": "final_code1", "family": "family", "odr": "final_odr", "direction": "privacy_direction", "relation": "privacy_relation", "strength": "strength"}

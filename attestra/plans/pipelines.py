@@ -19,7 +19,7 @@ ENSEMBLE = {
 }
 EVALUATION = {
     "confusion": "q_matched_confusion", "confusion_by_stratum": "q_matched_confusion_by_stratum", "confusion_by_page": "q_matched_confusion_page", "bootstrap": "q_matched_bootstrap", "gates": "q_matched_gates",
-    "assignments": "q_one_to_one", "overlap": "q_cross_overlap", "fidelity": "q_span_fidelity_all", "coverage": "q_matched_coverage",
+    "alignment": "q_alignment", "assignments": "q_one_to_one", "overlap": "q_cross_overlap", "fidelity": "q_span_fidelity_all", "coverage": "q_matched_coverage",
 }
 AUDIT = {
     "weighted_means": "q_weighted_mean", "strata": "q_stratum_detail", "estimate": "q_stratified_estimate", "reliability": "q_reliability_alpha_ac1", "intervals": "q_wilson",

@@ -104,3 +104,10 @@ def test_prototypes_are_bundled_again_three_times(monkeypatch):
     monkeypatch.setattr(languages, "_bundle", lambda counts: made.append(1) or real(counts))
     languages.train([("en", "The bank keeps the ledger of all payments.")])
     assert len(made) == 1 + 3
+
+
+def test_alignment_counts_statements_by_the_truth_they_meet(spark, tables):
+    said = [("openai", "d", 1, t, None, "A", "text") for t in [*TEXTS, "a statement no paragraph holds in any form"]] + [("claude", "d", 1, TEXTS[0], None, "A", "text"), ("claude", "off", 1, TEXTS[0], None, "A", "text")]
+    got = {r.who: tuple(r)[1:] for r in QUERIES["q_alignment"](spark, tables(said, reference())).collect()}
+    assert got == {"openai": (2, 1, 1, 1, 0.5), "claude": (1, 0, 0, 0, 1.0), "any": (3, 1, 1, 1, 0.6)}
+    assert pipelines.EVALUATION["alignment"] == "q_alignment"
