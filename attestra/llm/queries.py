@@ -14,12 +14,13 @@ def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
-    label = F.when(F.col("decision") == "exclude", F.lit("")).otherwise(F.col("code"))
+    label = F.when(F.col("decision") == "exclude", F.lit("")).otherwise(F.coalesce("code", F.lit(consensus.SOME_CLASS)))
     return consensus.Consensus(_reviews(spark, sf_dir).select("item", "annotator", label.alias("label")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _consensus(spark, sf_dir).result().where("keep")
+    """Candidates judged keep, with their code; a keep vote without a code counts for the decision only, and a candidate no one coded has no row."""
+    kept = _consensus(spark, sf_dir).result().where("keep and label is not null")
     asked = read(spark, sf_dir, "reviewed_candidates").select(F.col("candidate_id").alias("item")).distinct()
     return kept.join(asked, "item", "left_semi").select(F.col("item").alias("candidate_id"), F.col("label").alias("final_code1"))
 
@@ -121,8 +122,8 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.SourceMix:
-    """Leaves: scope of the source document, language as labelled, source."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "manifest_doc_id", F.lower(F.left(F.trim("lang"), F.lit(2))).alias("language"), "source", "text")
+    """Leaves: scope of the source document, the language its label names (none if it names none), source."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "manifest_doc_id", languages.label_language(F.col("lang")).alias("language"), "source", "text")
     sized = materialize(bpe.with_token_counts(docs), "sizes")
     scopes = read(spark, sf_dir, "corpus_manifest").groupBy(F.lower("doc_id").alias("_doc")).agg(F.min("scope").alias("domain"))
     sized = sized.join(scopes, F.lower("manifest_doc_id") == F.col("_doc"), "left")
@@ -137,6 +138,10 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).report()
 
 
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).levels()
+
+
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).selection()
 
@@ -156,7 +161,7 @@ def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_selection, p9_found, p9_grades)}
+    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_levels, p8_selection, p9_found, p9_grades)}
 
 
 STRATA_SQL = """WITH m AS (SELECT lower(trim(language)) l, lower(trim(origin_type)) o, count(DISTINCT candidate_id) n FROM candidate_mapping GROUP BY 1, 2),
