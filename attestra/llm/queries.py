@@ -117,6 +117,23 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quota(spark, sf_dir).report()
 
 
+def _shares(spark: SparkSession, sf_dir: str, share: str) -> DataFrame:
+    mapping, manifest = read(spark, sf_dir, "candidate_mapping"), read(spark, sf_dir, "sampled_validation_freeze_manifest")
+    targets = manifest.withColumn("share", F.expr(share))
+    out = quota.QuotaSample(mapping, targets, ["language", "origin_type"], "share", "candidate_id", total=F.col("sample")).report()
+    return out.select("language", "origin_type", F.round("target_share", 9).alias("target_share"), "available", "quota", F.round("actual_share", 9).alias("actual_share"), "shortfall")
+
+
+def p6_proportional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many candidates as the manifest samples in all, in the proportions of its populations."""
+    return _shares(spark, sf_dir, "population")
+
+
+def p6_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many candidates as the manifest samples in all, with the same share for every stratum: small strata run out and the others take over."""
+    return _shares(spark, sf_dir, "1")
+
+
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quota(spark, sf_dir).sample()
 
@@ -161,7 +178,7 @@ def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_sample, p7_ids, p8_found, p8_report, p8_levels, p8_selection, p9_found, p9_grades)}
+    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_proportional, p6_balanced, p6_sample, p7_ids, p8_found, p8_report, p8_levels, p8_selection, p9_found, p9_grades)}
 
 
 STRATA_SQL = """WITH m AS (SELECT lower(trim(language)) l, lower(trim(origin_type)) o, count(DISTINCT candidate_id) n FROM candidate_mapping GROUP BY 1, 2),
@@ -179,9 +196,24 @@ AGREEMENT_SQL = """WITH r AS (SELECT candidate_id item, 'martin' who, lower(trim
     SELECT measure, n_items, n_labels, round(observed, 9) observed, round(expected, 9) expected, round(1 - observed / nullif(expected, 0), 9) alpha FROM o JOIN e USING (measure)"""
 
 
+def _shares_sql(share: str) -> str:
+    """Largest remainder with floors of 1 and availability caps: the factor is looked for at every floor and cap, then whole quotas by largest fraction."""
+    return f"""WITH m AS (SELECT lower(trim(language)) l, lower(trim(origin_type)) o, count(DISTINCT candidate_id) n FROM candidate_mapping GROUP BY 1, 2),
+    s AS (SELECT lower(trim(f.language)) l, lower(trim(f.origin_type)) o, min(f.language) AS language, min(f.origin_type) origin_type, sum({share})::DOUBLE s, sum(f.sample)::DOUBLE w FROM sampled_validation_freeze_manifest f GROUP BY 1, 2),
+    t AS (SELECT s.*, coalesce(n, 0) available, least(1, coalesce(n, 0))::DOUBLE lo, coalesce(n, 0)::DOUBLE hi, sum(w) OVER () total FROM s LEFT JOIN m USING (l, o)),
+    p AS (SELECT DISTINCT unnest([lo / s, hi / s]) y FROM t), g AS (SELECT y, (SELECT sum(greatest(lo, least(hi, p.y * s))) FROM t) v FROM p),
+    a AS (SELECT max(y) y0, max(v) v0 FROM g WHERE v <= (SELECT max(total) FROM t) + 1e-9), b AS (SELECT min(y) y1, min(v) v1 FROM g, a WHERE y > y0),
+    f AS (SELECT coalesce(CASE WHEN v1 > v0 THEN y0 + (y1 - y0) * ((SELECT max(total) FROM t) - v0) / (v1 - v0) ELSE y0 END, 0) k FROM a, b),
+    x AS (SELECT t.*, greatest(lo, least(hi, k * s)) x FROM t, f), q AS (SELECT *, floor(x + 1e-6) q FROM x),
+    r AS (SELECT *, row_number() OVER (ORDER BY round(x - q, 9) DESC, l, o) <= round(sum(x) OVER ()) - sum(q) OVER () AND q < hi more FROM q), z AS (SELECT *, (q + more::INT)::BIGINT quota, s / sum(s) OVER () ts FROM r)
+    SELECT language, origin_type, round(ts, 9) target_share, available, quota, round(quota / (sum(quota) OVER ())::DOUBLE, 9) actual_share, greatest(floor(ts * total + 1e-6) - quota, 0)::BIGINT shortfall FROM z"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_agreement": AGREEMENT_SQL,
+        "p6_proportional": _shares_sql("f.population"),
+        "p6_balanced": _shares_sql("1"),
         "p6_found": STRATA_SQL + " SELECT language, origin_type FROM q WHERE target > quota",
         "p6_report": STRATA_SQL + " SELECT language, origin_type, target, available, quota::BIGINT quota, greatest(target - quota, 0)::BIGINT shortfall FROM q",
     }
