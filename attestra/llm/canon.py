@@ -9,6 +9,9 @@ with row positions, and both mappings are dense arrays indexed by code point (a
 broadcast hash join whose build side is the fixed Unicode repertoire, so its size
 never depends on the data). No row of code points is ever shuffled. Texts made only
 of visible ASCII and line feeds are their own form and stay in the JVM.
+
+The form is a key to compare by, not a text to show: Cyrillic, Greek or kana that have a Latin or
+Han twin come out in mixed scripts. Operators here hand on fingerprints of it or words of it, never the form.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.llm import pairs
+from attestra.tables import materialize
+
 # Letters and signs drawn with the same shape as the one they map to.
 SAME_SHAPE = {
     # Cyrillic drawn like Latin
@@ -34,14 +40,23 @@ SAME_SHAPE = {
     "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "ρ": "p",
     # Greek drawn like Cyrillic
     "Γ": "Г", "Π": "П", "Φ": "Ф",
+    # Cherokee drawn like Latin
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮞ": "4", "Ꮢ": "R",
+    "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏼ": "B", "Ᏻ": "G", "Ꭹ": "y",
+    # Lisu drawn like Latin
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S",
+    "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Coptic drawn like Latin
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
     # Armenian and Latin variants
     "օ": "o", "ɡ": "g", "ɑ": "a",
     # katakana drawn like hiragana or kanji
     "ヘ": "へ", "ニ": "二", "カ": "力", "ロ": "口", "エ": "工", "タ": "夕", "ト": "卜", "ハ": "八", "ー": "一",
     # signs
-    "‐": "-", "‑": "-", "ʼ": "’", "∶": ":", "꞉": ":", "։": ":", "∕": "/", "⁄": "/", "․": ".", "ꓸ": ".",
+    "‚": ",", "٫": ",", "ꓹ": ",", "‐": "-", "‑": "-", "ʼ": "’", "∶": ":", "꞉": ":", "։": ":", "∕": "/", "⁄": "/", "․": ".", "ꓸ": ".",
     "\t": " ", "\x85": "\n", "\u2028": "\n", "\u2029": "\n", "\r": "\n", "\x0b": "\n", "\x0c": "\n",
 }
 # Format signs that are visible, so they are kept.
@@ -195,29 +210,38 @@ def is_placeholder(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin(*PLACEHOLDERS), F.lit(True))
 
 
+def looks(values: DataFrame, id_col: str, group_cols: list[str], value_col: str) -> DataFrame:
+    """id, group columns, fingerprints of the value (raw) and of its form (k1, k2); rows without a value are left out, repeated ones are one."""
+    form = canonical(F.col(value_col))
+    keys = values.where(F.col(value_col).isNotNull()).select(F.col(id_col).alias("id"), *group_cols, F.xxhash64(value_col).alias("raw"), form.alias("_form"))
+    return keys.select("id", *group_cols, "raw", F.xxhash64("_form").alias("k1"), F.xxhash64(F.lit("form"), "_form").alias("k2")).distinct()
+
+
 def same_look_pairs(values: DataFrame, id_col: str, group_cols: list[str], value_col: str) -> DataFrame:
     """Pairs of rows of a group whose values look the same but differ in characters.
 
-    Returns the group columns, ``id_a`` < ``id_b``. Null values pair with nothing;
-    rows with equal characters do not pair; an empty input gives no rows. The shuffle
-    carries ids and 64-bit fingerprints only; groups with a single spelling are
-    dropped by a pre-aggregated min/max before the join.
+    Returns the group columns, ``id_a`` < ``id_b``. Null values and null groups pair with nothing; rows with equal
+    characters do not pair; an empty input gives no rows. Shuffles carry ids and 64-bit
+    fingerprints only. Spellings of one form are paired first, then each pair of spellings is expanded to its rows, in
+    blocks where a spelling has many, so equal values never meet.
     """
-    from attestra.tables import materialize
-
-    form = canonical(F.col(value_col))
-    keys = values.where(F.col(value_col).isNotNull()).select(
-        F.col(id_col).alias("id"), *group_cols, F.xxhash64(value_col).alias("raw"), form.alias("_form")
-    )
-    keys = keys.select("id", *group_cols, "raw", F.xxhash64("_form").alias("k1"), F.xxhash64(F.lit("form"), "_form").alias("k2"))
-    keys = materialize(keys, "forms")
     by = [*group_cols, "k1", "k2"]
-    mixed = keys.groupBy(*by).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*by)
-    some = keys.join(mixed, by, "left_semi")
-    a, b = some.alias("a"), some.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]
-    return (
-        a.join(b, functools.reduce(lambda x, y: x & y, [*same, F.col("a.raw") != F.col("b.raw"), F.col("a.id") < F.col("b.id")]))
-        .select(*[F.col(f"a.{c}").alias(c) for c in group_cols], F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-        .distinct()
-    )
+    keys = materialize(looks(values, id_col, group_cols, value_col), "forms")
+    spellings = keys.groupBy(*by, "raw").agg(F.first("id").alias("_id")).drop("_id")
+    mixed = spellings.groupBy(*by).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*by)
+    spellings = materialize(spellings.join(mixed, by, "left_semi"), "spellings")
+    rows = keys.join(spellings, [*by, "raw"], "left_semi")
+    left = spellings.select(*by, F.col("raw").alias("raw_a"))
+    two = left.join(spellings.select(*by, F.col("raw").alias("raw_b")), by).where("raw_a < raw_b")
+    sides = {s: [f"{c}_{s}" for c in (*by, "raw")] for s in ("l", "r")}
+    two = two.select(*[F.col(c).alias(f"{c}_{s}") for s in ("l", "r") for c in by], F.col("raw_a").alias("raw_l"), F.col("raw_b").alias("raw_r"), *group_cols)
+    out = pairs.between(two, rows, sides["l"], sides["r"], [*by, "raw"], keep=group_cols)
+    return out.select(*group_cols, F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
+def look_classes(values: DataFrame, id_col: str, group_cols: list[str], value_col: str) -> DataFrame:
+    """One row per value: group columns, ``id_col``, class_id (fingerprint of the form in hex), rows and spellings of the class. Grows with the rows, not with their pairs."""
+    keys = materialize(looks(values, id_col, group_cols, value_col), "forms")
+    by = [*group_cols, "k1", "k2"]
+    per = keys.groupBy(*by, "raw").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("spellings"))
+    return keys.join(per, by).select(*group_cols, F.col("id").alias(id_col), F.concat(F.lower(F.hex("k1")), F.lower(F.hex("k2"))).alias("class_id"), "rows", "spellings")

@@ -1,17 +1,20 @@
 """Problem 5: near-duplicate records with small edits.
 
-Method: HyperMinHash. Every register keeps, of the smallest of one hash over a
-text's words, the leading-zero count and the mantissa bits that follow, packed in 16
-bits; smaller hashes have smaller codes, so the register of a set is the minimum of
-its words' codes. Bands of registers give candidate pairs, an estimate of the Jaccard
-similarity corrected for chance collisions of 8-bit registers drops unlike pairs, and
-the word sets of what is left are compared exactly.
+Method: HyperMinHash. A hash of a word picks one of a few buckets by its first bits; the
+bucket keeps, of the smallest of the hashes that fall in it, the leading-zero count and the
+mantissa bits that follow, packed in 16 bits; smaller hashes have smaller codes, so the register of
+a set is the minimum of its words' codes. Quotes are some twenty words long, so one hash could
+fill but a handful of buckets: the sketch is made of HASHES hashes of BUCKETS buckets each, and an
+empty bucket borrows from the next one of the same hash, marked by the distance. Bands of registers
+give candidate pairs, an estimate of the Jaccard similarity from the first registers, corrected for
+chance collisions, drops unlike pairs, and the word sets of what is left are compared exactly.
 
 Scale: copies (equal word sets) become one class before banding, so no group of
 copies is ever paired with itself; a band row costs 6 bytes (32-bit key and 16-bit
-offset, packed in blobs); every stage is written to the shared folder and partition
-counts follow the number of classes. Nothing is capped: equal keys are paired in
-chunks of bounded memory.
+offset, packed in blobs that are never empty, so their number is bounded by the band rows);
+every stage is written to the shared folder and partition counts follow the number of classes.
+Nothing is capped: a band key shared by many classes is cut in blocks that are paired by
+different tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.llm import pairs
 from attestra.llm.canon import canonical, is_placeholder
 from attestra.tables import discard, materialize
 
@@ -35,13 +39,21 @@ KANA_KANJI = re.compile("[぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ff
 #: Registers are bands * rows; a pair of similarity s shares a band with 1-(1-s^rows)^bands:
 #: 0.981 at 0.70, 0.9995 at 0.75, 0.999999 at 0.80.
 BANDS, ROWS = 96, 9
+#: Registers are HASHES * BUCKETS; one bucket of each hash comes before the next, so the rows of a band are of different hashes.
+BUCKETS = 4
+HASHES = BANDS * ROWS // BUCKETS
+#: Registers (of different hashes) that the estimate reads, with 8 bits each.
 SKETCH = 64
+EMPTY = 0xFFFF
+#: Classes under one band key that a task pairs at once.
+HOT_RUN = 4096
 #: Words whose register codes are held at once (about 100 MB).
 MAX_VOCABULARY = 60_000
 KEPT_WORDS = 200_000
 #: Classes banded at once (offsets have 16 bits).
 BAND_ROWS = 20_000
 KEYS_PER_PARTITION = 1_500_000
+PAIR_COLUMNS = ["a", "b", "left", "right"]
 
 
 def words_of(text: str) -> list[str]:
@@ -61,15 +73,30 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def register_codes(hashes: np.ndarray, registers: int) -> np.ndarray:
-    """Code of each word in each register: 15 minus the leading zeros (4 bits), then 12 mantissa bits."""
-    out = np.empty((len(hashes), registers), dtype=np.uint16)
-    for r in range(registers):
-        x = _mix(hashes, (r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> np.uint64(12)  # 52 bits, exact in a double
+def register_codes(hashes: np.ndarray, functions: int) -> np.ndarray:
+    """Code of each word in its bucket of each hash (EMPTY in the others): 15 minus the leading zeros (4 bits), then 12 mantissa bits."""
+    out = np.full((len(hashes), BUCKETS, functions), EMPTY, dtype=np.uint16)
+    rows = np.arange(len(hashes))
+    for g in range(functions):
+        mixed = _mix(hashes, (g + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        bucket = (mixed >> np.uint64(62)).astype(np.int64)
+        x = (mixed & np.uint64((1 << 62) - 1)) >> np.uint64(10)  # 52 bits, exact in a double
         mantissa, exponent = np.frexp(x.astype(np.float64))
         zeros = np.minimum(52 - exponent, 15)
-        out[:, r] = ((15 - zeros) << 12) | np.where(zeros < 15, ((mantissa * 2 - 1) * 4096).astype(np.int64), np.minimum(x >> np.uint64(26), np.uint64(4095)).astype(np.int64))
-    return out
+        out[rows, bucket, g] = ((15 - zeros) << 12) | np.where(zeros < 15, ((mantissa * 2 - 1) * 4096).astype(np.int64), np.minimum(x >> np.uint64(26), np.uint64(4095)).astype(np.int64))
+    return out.reshape(len(hashes), BUCKETS * functions)
+
+
+def fill_empty(registers: np.ndarray) -> np.ndarray:
+    """Empty buckets take the code of the next filled one of their hash, marked by how far it is."""
+    shaped = registers.reshape(len(registers), BUCKETS, -1)
+    held = shaped.copy()
+    for distance in range(1, BUCKETS):
+        for b in range(BUCKETS):
+            source = held[:, (b + distance) % BUCKETS]
+            open_ = (shaped[:, b] == EMPTY) & (source != EMPTY)
+            np.copyto(shaped[:, b], source ^ np.uint16(distance * 0x1555), where=open_)
+    return registers
 
 
 def small_codes(registers: np.ndarray) -> np.ndarray:
@@ -84,7 +111,9 @@ def chance_collision(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     lo = np.where(zeros < 15, 2.0 ** -(zeros + 1.0) * (1 + mantissa / 16), 2.0**-15 * mantissa / 16)
     hi = np.where(zeros < 15, 2.0 ** -(zeros + 1.0) * (1 + (mantissa + 1) / 16), 2.0**-15 * (mantissa + 1) / 16)
     sizes, at = np.unique(np.r_[n, m], return_inverse=True)
-    p = (1 - lo[None, :]) ** sizes[:, None] - (1 - hi[None, :]) ** sizes[:, None]
+    # a word falls in the bucket with probability 1 / BUCKETS; of filled buckets only
+    p = (1 - lo[None, :] / BUCKETS) ** sizes[:, None] - (1 - hi[None, :] / BUCKETS) ** sizes[:, None]
+    p /= 1 - (1 - 1 / BUCKETS) ** sizes[:, None]
     a, b = at[: len(n)], at[len(n) :]
     out = np.empty(len(n))
     for i in range(0, len(n), 4096):
@@ -118,24 +147,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(i)
             d1.append(a)
             d2.append(b)
-            sets.append(None if (a, b) in seen else (own >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            sets.append(None if (a, b) in seen else own.view(np.int64))
             seen.add((a, b))
         yield pa.RecordBatch.from_arrays(
             [
                 keys.take(pa.array(kept, pa.int64())),
                 pa.array(np.array(d1, dtype=np.uint64).view(np.int64)),
                 pa.array(np.array(d2, dtype=np.uint64).view(np.int64)),
-                pa.array(sets, pa.list_(pa.int32())),
+                pa.array(sets, pa.list_(pa.int64())),
             ],
             names=["text_key", "d1", "d2", "words"],
         )
 
 
-def _register_matrix(words: pa.ListArray) -> np.ndarray:
+def _register_matrix(words: pa.ListArray, functions: int = HASHES) -> np.ndarray:
     """16-bit registers of each set; the table of the words' codes is kept under MAX_VOCABULARY rows."""
-    flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+    flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     ends = np.cumsum(np.diff(words.offsets.to_numpy()))
-    out = np.full((len(ends), BANDS * ROWS), 0xFFFF, dtype=np.uint16)
+    out = np.full((len(ends), BUCKETS * functions), EMPTY, dtype=np.uint16)
     todo = [(0, len(flat))]
     while todo:
         lo, hi = todo.pop()
@@ -143,14 +172,14 @@ def _register_matrix(words: pa.ListArray) -> np.ndarray:
         if len(vocabulary) > MAX_VOCABULARY:  # many different words, or one very long text: halves, cut anywhere
             todo += [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
             continue
-        codes = register_codes(_mix(vocabulary.astype(np.uint64), 0x5851F42D4C957F2D), BANDS * ROWS)
+        codes = register_codes(vocabulary, functions)
         first = int(np.searchsorted(ends, lo, side="right"))
         a = lo
         while a < hi:
             b = min(int(ends[first]), hi)
             np.minimum(out[first], np.minimum.reduce(codes[at[a - lo : b - lo]], axis=0), out=out[first])
             a, first = b, first + 1
-    return out
+    return fill_empty(out)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -191,14 +220,15 @@ def _band_blobs(parts: int):
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 low, offset = low[order], offset[order]
-                blobs = [low[a:b].tobytes() + offset[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, ids[0])), pa.array(blobs, pa.binary())], names=["part", "base", "blob"])
+                filled = np.flatnonzero(np.diff(cuts))
+                blobs = [low[a:b].tobytes() + offset[a:b].tobytes() for a, b in zip(cuts[filled].tolist(), cuts[filled + 1].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(np.full(len(filled), ids[0])), pa.array(blobs, pa.binary())], names=["part", "base", "blob"])
 
     return run
 
 
 def _equal_key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes with equal band keys in one partition, in chunks."""
+    """Pairs of classes with equal band keys in one partition, in chunks; runs beyond HOT_RUN go out as pairs of blocks (left, right)."""
     keys, ids = [], []
     for batch in batches:
         for base, blob in zip(batch.column("base").to_pylist(), batch.column("blob").to_pylist()):
@@ -212,6 +242,12 @@ def _equal_key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     key, cls = key[order], cls[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
+    for s, n in zip(starts[sizes > HOT_RUN].tolist(), sizes[sizes > HOT_RUN].tolist()):
+        blocks = [cls[a : min(a + HOT_RUN, s + n)] for a in range(s, s + n, HOT_RUN)]
+        for i, left in enumerate(blocks):
+            for right in blocks[i:]:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([left], pa.list_(pa.int64())), pa.array([right], pa.list_(pa.int64()))], names=PAIR_COLUMNS)
+    starts, sizes = starts[sizes <= HOT_RUN], sizes[sizes <= HOT_RUN]
     a_out, b_out, held = [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -219,9 +255,10 @@ def _equal_key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
         a_out.clear()
         b_out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        blocks = pa.nulls(len(both), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), blocks, blocks], names=PAIR_COLUMNS)
 
-    for gap in range(1, int(sizes.max())):  # the member `gap` places further in the same run
+    for gap in range(1, int(sizes.max(initial=0))):  # the member `gap` places further in the same run
         starts, sizes = starts[sizes > gap], sizes[sizes > gap]
         reps = sizes - gap
         for at in range(0, len(starts), 1 << 20):
@@ -237,18 +274,23 @@ def _equal_key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield flush()
 
 
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a class of the left and one of the right block, each unordered pair of different classes once."""
+    for batch in batches:
+        for left, right in zip(batch.column(0), batch.column(1)):
+            x, y = (c.values.to_numpy() for c in (left, right))
+            for at in range(0, len(x), 256):
+                a, b = np.repeat(x[at : at + 256], len(y)), np.tile(y, len(x[at : at + 256]))
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first SKETCH registers of each class, which are banded as well, cut to 8 bits."""
     for batch in batches:
-        words = batch.column(1)
-        flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-        vocabulary, at = np.unique(flat, return_inverse=True)
-        codes = small_codes(register_codes(_mix(vocabulary.astype(np.uint64), 0x14057B7EF767814F), SKETCH))
-        ends = words.offsets.to_numpy()
-        ends = ends - ends[0]
-        sketch = np.empty((len(ends) - 1, SKETCH), dtype=np.uint8)
-        for row, a, b in zip(sketch, ends.tolist(), ends[1:].tolist()):
-            np.minimum.reduce(codes[at[a:b]], axis=0, out=row)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "n", "sketch"])
+        sketch = small_codes(_register_matrix(batch.column(1), SKETCH)[:, :SKETCH])
+        sizes = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "n", "sketch"])
 
 
 def _likely(threshold: float):
@@ -280,17 +322,23 @@ class NearDuplicates:
     def __init__(self, texts: DataFrame, threshold: float = 0.7):
         spark = texts.sparkSession
         wanted = texts.where(~is_placeholder(F.col("text"))).select("text_key", canonical(F.col("text")).alias("text"))
-        sets = materialize(wanted.mapInArrow(_sets, "text_key long, d1 long, d2 long, words array<int>"), "wordsets")
-        self.members = sets.select("text_key", "d1", "d2")
+        sets = materialize(wanted.mapInArrow(_sets, "text_key long, d1 long, d2 long, words array<long>"), "wordsets")
+        self.members = materialize(sets.select("text_key", "d1", "d2"), "members")
         one = sets.where("words is not null").groupBy("d1", "d2").agg(F.first("words").alias("words"))
         classes = materialize(one.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "words"), "classes")
+        discard(sets)
         self._release(spark)
         total = classes.count()
         parts = max(1, -(-total * BANDS // KEYS_PER_PARTITION))
         blobs = classes.select("id", "words").mapInArrow(_band_blobs(parts), "part int, base long, blob binary")
         # one part is one partition: no second shuffle, no sort, and no two parts in a task
-        found = blobs.repartitionById(parts, F.col("part")).mapInArrow(_equal_key_pairs, "a long, b long")
-        candidates = materialize(found.distinct(), "candidates")
+        met = blobs.repartitionById(parts, F.col("part")).mapInArrow(_equal_key_pairs, "a long, b long, left array<long>, right array<long>")
+        met = materialize(met, "met")
+        self._release(spark)
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        hot = met.where("left is not null").select("left", "right").repartition(tasks).mapInArrow(_block_pairs, "a long, b long")
+        candidates = materialize(met.where("left is null").select("a", "b").union(hot).distinct(), "candidates")
+        discard(met)
         self._release(spark)
         sketch = classes.select("id", "words").mapInArrow(_sketches, "id long, n int, sketch binary")
         sketch = materialize(sketch, "sketches")
@@ -321,13 +369,10 @@ class NearDuplicates:
 
     def row_pairs(self, row_of: Column) -> DataFrame:
         """record_a < record_b of all linked rows, copies included, each pair once; ``row_of`` maps text_key to the row's id."""
-        m = self.members.select(row_of.alias("r"), "d1", "d2").distinct()
+        m = self.members.select(row_of.alias("id"), "d1", "d2").distinct()
         many = m.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
-        copies = m.join(many, ["d1", "d2"], "left_semi")
-        same = copies.alias("x").join(copies.alias("y"), F.expr("x.d1 = y.d1 and x.d2 = y.d2 and x.r < y.r")).select(F.col("x.r").alias("a"), F.col("y.r").alias("b"))
-        left = m.select(F.col("r").alias("ra"), F.col("d1").alias("a1"), F.col("d2").alias("a2"))
-        right = m.select(F.col("r").alias("rb"), F.col("d1").alias("b1"), F.col("d2").alias("b2"))
-        cross = self.links.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        same = pairs.within(m.join(many, ["d1", "d2"], "left_semi"), ["d1", "d2"])
+        cross = pairs.between(self.links, m, ["a1", "a2"], ["b1", "b2"], ["d1", "d2"])
         return same.union(cross).distinct()
 
     def rows(self, row_of: Column) -> DataFrame:

@@ -72,16 +72,30 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.unionByName(corpus).unionByName(several)
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _looks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts of both quote fields without placeholders, and paragraph ids under their gold_id."""
     outputs = read(spark, sf_dir, "provider_outputs")
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("v")) for c in ("quote", "quote_en")])).alias("f")
     texts = outputs.select("record_id", fields).select("record_id", "f.*").where(~canon.is_placeholder(F.col("v")))
+    return texts, read(spark, sf_dir, "reference_paragraphs").select("ref_id", "gold_id", "paragraph_id").where("gold_id is not null")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, paragraphs = _looks(spark, sf_dir)
     quotes = canon.same_look_pairs(texts, "record_id", ["field_name"], "v").select("field_name", "id_a", "id_b")
-    paragraphs = read(spark, sf_dir, "reference_paragraphs").select("ref_id", "gold_id", "paragraph_id").where("gold_id is not null")
     keyed = canon.same_look_pairs(paragraphs, "ref_id", ["gold_id"], "paragraph_id").select(F.lit("paragraph_id").alias("field_name"), "id_a", "id_b")
     return quotes.union(keyed)
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear form of p4_found: every value's class of equal-looking values, quotes over all rows, paragraph ids under their gold_id."""
+    texts, paragraphs = _looks(spark, sf_dir)
+    quotes = canon.look_classes(texts, "record_id", ["field_name"], "v")
+    keyed = canon.look_classes(paragraphs, "ref_id", ["gold_id"], "paragraph_id")
+    columns = ["field_name", "record_id", "class_id", "rows", "spellings"]
+    return quotes.select(*columns).union(keyed.select(F.lit("paragraph_id"), "ref_id", "class_id", "rows", "spellings"))
+
+
 def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     outputs = read(spark, sf_dir, "provider_outputs").select("record_id", "quote", "quote_en")
     return neardup.NearDuplicates(neardup.text_rows(outputs, "record_id", ["quote", "quote_en"]), threshold=0.7)
@@ -178,7 +192,7 @@ def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p5_found, p5_classes, p6_found, p6_report, p6_proportional, p6_balanced, p6_sample, p7_ids, p8_found, p8_report, p8_levels, p8_selection, p9_found, p9_grades)}
+    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p4_classes, p5_found, p5_classes, p6_found, p6_report, p6_proportional, p6_balanced, p6_sample, p7_ids, p8_found, p8_report, p8_levels, p8_selection, p9_found, p9_grades)}
 
 
 STRATA_SQL = """WITH m AS (SELECT lower(trim(language)) l, lower(trim(origin_type)) o, count(DISTINCT candidate_id) n FROM candidate_mapping GROUP BY 1, 2),
