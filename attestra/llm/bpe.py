@@ -6,13 +6,15 @@ into matrices of equal padded length, and in each round every row merges its lef
 pair of minimum rank, found by a hashed pair lookup, and is compacted.
 
 Scale: one narrow pass without a shuffle; the only shipped state is the vocabulary
-file (under 1 MB whatever the corpus). The memory of pieces is bounded and only saves work.
+file (under 1 MB whatever the corpus). The memory of pieces is bounded and only saves work. Pieces of
+more than WIDEST bytes, which as rows would cost the square of their length, go through a heap instead.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 KEPT_PIECES = 400_000
 #: Bytes of texts encoded at once.
 CHUNK_CHARS = 4_000_000
+#: Bytes of the widest matrix row.
+WIDEST = 1024
 _NONE = np.int64(1) << 40
 
 
@@ -87,7 +91,9 @@ class Vocabulary:
         out: list = [None] * len(pieces)
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         width = np.where(lengths <= 16, lengths, 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64))
-        for w in np.unique(width):
+        for i in np.flatnonzero(lengths > WIDEST).tolist():
+            out[i] = self._merge_long(pieces[i])
+        for w in np.unique(width[lengths <= WIDEST]):
             rows = np.flatnonzero(width == w)
             for at in range(0, len(rows), step := max(1, 2_000_000 // int(w))):
                 part = rows[at : at + step]
@@ -96,6 +102,42 @@ class Vocabulary:
                     out[i] = ids
         return out
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece: the same merges, with the pairs in a heap by rank, then place, and neighbours in linked lists."""
+        ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)].astype(np.int64)
+        n = len(ids)
+        ranks = self._lookup(ids[:-1] << 32 | ids[1:])
+        heap = [(r, i) for i, r in enumerate(ranks.tolist()) if r < _NONE]
+        heapq.heapify(heap)
+        token, right, left = ids.tolist(), [*range(1, n), -1], [-1, *range(n - 1)]
+        known: dict[tuple[int, int], int] = {}
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j >= 0:
+                if (pair := (token[i], token[j])) not in known:
+                    known[pair] = int(self._lookup(np.array([pair[0] << 32 | pair[1]]))[0])
+                if known[pair] < _NONE:
+                    heapq.heappush(heap, (known[pair], i))
+
+        alive = bytearray(b"\x01") * n
+        pair_rank = dict(enumerate(ranks.tolist()))
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = right[i]
+            if not alive[i] or j < 0 or pair_rank.get(i) != rank:
+                continue
+            token[i] = rank
+            alive[j] = 0
+            right[i] = k = right[j]
+            if k >= 0:
+                left[k] = i
+            for a, b in ((left[i], i), (i, k)):
+                pair_rank.pop(a, None)
+                if a >= 0 and b >= 0:
+                    offer(a, b)
+                    pair_rank[a] = known[token[a], token[b]]
+        return np.array([t for t, a in zip(token, alive) if a], dtype=np.int32)
+
     def _merge_matrix(self, ids: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         done: list = [None] * len(ids)
         row = np.arange(len(ids))

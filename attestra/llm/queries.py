@@ -114,6 +114,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.statement_survivors(read(spark, sf_dir, "provider_outputs"), read(spark, sf_dir, "codebook"))
 
 
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.statement_records(read(spark, sf_dir, "provider_outputs"), read(spark, sf_dir, "codebook"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
@@ -192,7 +196,7 @@ def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p4_found, p4_classes, p5_found, p5_classes, p6_found, p6_report, p6_proportional, p6_balanced, p6_sample, p7_ids, p8_found, p8_report, p8_levels, p8_selection, p9_found, p9_grades)}
+    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p3_records, p4_found, p4_classes, p5_found, p5_classes, p6_found, p6_report, p6_proportional, p6_balanced, p6_sample, p7_ids, p8_found, p8_report, p8_levels, p8_selection, p9_found, p9_grades)}
 
 
 STRATA_SQL = """WITH m AS (SELECT lower(trim(language)) l, lower(trim(origin_type)) o, count(DISTINCT candidate_id) n FROM candidate_mapping GROUP BY 1, 2),
