@@ -15,7 +15,6 @@ word; no shuffle. Only the prototypes (8 x DIMENSIONS floats) are shipped.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +47,8 @@ DIMENSIONS = 16384
 GRAM, WHOLE_WORD = 3, 10
 #: Labelled documents used per language, and the longest that is used.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
-#: Commonest n-grams of each language that go into the prototypes.
-TRAIN_GRAMS = 6_000
+#: Vectors of n-grams held at once.
+BLOCK = 512
 #: A sentence of another language than its paragraph's needs so many words and so much more score per root of n-gram.
 MIN_WORDS, MARGIN = 3, 0.055
 #: Of the softmax that turns cosines into a confidence.
@@ -112,47 +111,59 @@ def gram_vectors(some: list[str], letters: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
+def _dots(some: list[str], prototypes: np.ndarray, letters: dict) -> np.ndarray:
+    """Products of n-gram vectors with the prototypes, a block of vectors at a time."""
+    out = np.empty((len(some), len(prototypes)), dtype=np.float32)
+    for at in range(0, len(some), BLOCK):
+        out[at : at + BLOCK] = gram_vectors(some[at : at + BLOCK], letters).astype(np.float32) @ prototypes.T / np.sqrt(DIMENSIONS)
+    return out
+
+
+def _grown(table: np.ndarray, rows: int) -> np.ndarray:
+    while rows > len(table):
+        table = np.concatenate([table, np.zeros_like(table)])
+    return table
+
+
 class Profiles:
     """Prototypes (languages x dimensions, unit length, centred) and what words score against them."""
 
     def __init__(self, prototypes: np.ndarray):
         self.prototypes = prototypes.astype(np.float32)
         self.letters: dict = {}
-        self.gram_scores: dict[str, np.ndarray] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.numbers: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
         self.scores = np.zeros((1024, len(LANGUAGES) + 1), dtype=np.float32)  # the last column counts n-grams
-
-    def number(self, word: str) -> int:
-        n = self.numbers.get(word)
-        if n is None:
-            n = self.numbers[word] = len(self.numbers)
-            if n >= len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            own = grams(word)
-            if new := [g for g in own if g not in self.gram_scores]:
-                if len(self.gram_scores) > KEPT_WORDS:
-                    self.gram_scores.clear()
-                    new = own
-                dots = gram_vectors(new, self.letters).astype(np.float32) @ self.prototypes.T / np.sqrt(DIMENSIONS)
-                self.gram_scores.update(zip(new, dots))
-            self.scores[n, :-1] = sum(self.gram_scores[g] for g in own)
-            self.scores[n, -1] = len(own)
-        return n
+        self.gram_scores = np.zeros((1024, len(LANGUAGES)), dtype=np.float32)
+
+    def learn(self, words: list[str]) -> None:
+        """Scores of words not known yet."""
+        own = [grams(w) for w in words]
+        new = [g for g in dict.fromkeys(g for o in own for g in o) if g not in self.grams]
+        first, at = len(self.grams), len(self.numbers)
+        self.gram_scores = _grown(self.gram_scores, first + len(new))
+        self.gram_scores[first : first + len(new)] = _dots(new, self.prototypes, self.letters)
+        self.grams.update(zip(new, range(first, first + len(new))))
+        sizes = np.array([len(o) for o in own])
+        flat = np.array([self.grams[g] for o in own for g in o])
+        self.scores = _grown(self.scores, at + len(words))
+        self.scores[at : at + len(words), :-1] = np.add.reduceat(self.gram_scores[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+        self.scores[at : at + len(words), -1] = sizes
+        self.numbers.update(zip(words, range(at, at + len(words))))
 
     def sentences(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sum of the words' scores, number of n-grams and number of words of each sentence."""
-        if len(self.numbers) > KEPT_WORDS:
+        if max(len(self.numbers), len(self.grams)) > KEPT_WORDS:
             self._reset()
-        known, number = self.numbers, self.number
-        flat: list[int] = []
-        counts = np.zeros(len(sentences), dtype=np.int64)
-        for i, s in enumerate(sentences):
-            ws = words_of(s)
-            counts[i] = len(ws)
-            flat += [known[w] if w in known else number(w) for w in ws]
+        known = self.numbers
+        lists = [words_of(s) for s in sentences]
+        if new := list(dict.fromkeys(w for ws in lists for w in ws if w not in known)):
+            self.learn(new)
+        counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        flat = [known[w] for ws in lists for w in ws]
         out = np.zeros((len(sentences), len(LANGUAGES) + 1))
         full = np.flatnonzero(counts)
         if len(full):
@@ -160,34 +171,47 @@ class Profiles:
         return out[:, :-1], out[:, -1], counts
 
 
-def _bundle(counts: list[Counter]) -> np.ndarray:
-    """Prototypes: n-grams bundled by how much more they are a language's own than the average language's; unit length."""
-    totals = [sum(c.values()) or 1 for c in counts]
-    known = sorted({g for c in counts for g, n in c.most_common(TRAIN_GRAMS)})
-    rate = np.array([[c[g] / t for g in known] for c, t in zip(counts, totals)])
-    support = np.array([sum(c[g] for c in counts) for g in known])
-    weight = (rate / rate.sum(0) - 1 / len(LANGUAGES)) * np.minimum(1, support / 3)
+def _bundle(counts: np.ndarray, known: list[str]) -> np.ndarray:
+    """Prototypes from counts (languages x n-grams): n-grams bundled by how much more they are a language's own than the average language's; unit length."""
+    rate = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    used = np.flatnonzero(counts.sum(0))
+    weight = (rate[:, used] / rate[:, used].sum(0) - 1 / len(LANGUAGES)) * np.minimum(1, counts[:, used].sum(0) / 3)
     letters: dict = {}
     out = np.zeros((len(LANGUAGES), DIMENSIONS), dtype=np.float32)
-    for at in range(0, len(known), 512):
-        out += weight[:, at : at + 512].astype(np.float32) @ gram_vectors(known[at : at + 512], letters).astype(np.float32)
+    for at in range(0, len(used), BLOCK):
+        out += weight[:, at : at + BLOCK].astype(np.float32) @ gram_vectors([known[g] for g in used[at : at + BLOCK]], letters).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def train(samples: list[tuple[str, str]], rounds: int = 3) -> np.ndarray:
-    """Prototypes from (language, text) samples whose labels may be wrong; without samples from the seeds alone."""
-    seeds = [Counter(g for w in words_of(SEEDS[code].lower()) for g in grams(canonical_texts([w])[0])) for code in LANGUAGES]
-    prototypes = _bundle(seeds)
+    """Prototypes from (language, text) samples whose labels may be wrong; without samples from the seeds alone. All n-grams of the samples count."""
+    seeds = [[canonical_texts([w])[0] for w in words_of(SEEDS[code].lower())] for code in LANGUAGES]
     texts = canonical_texts([t for _, t in samples])
-    pieces = [(LANGUAGES.index(code), s) for (code, _), t in zip(samples, texts) for p in paragraphs(t) for s in SENTENCE.split(p) if s]
-    for _ in range(rounds if pieces else 0):
-        scores, _, n = Profiles(prototypes).sentences([s for _, s in pieces])
-        best = scores.argmax(1)
-        counts = [Counter(c) for c in seeds]
-        for (code, s), b, k in zip(pieces, best.tolist(), n.tolist()):
-            if b == code and k >= MIN_WORDS:
-                counts[code].update(g for w in words_of(s) for g in grams(w))
-        prototypes = _bundle(counts)
+    pieces = [(LANGUAGES.index(code), ws) for (code, _), t in zip(samples, texts) for p in paragraphs(t) for s in SENTENCE.split(p) if len(ws := words_of(s)) >= MIN_WORDS]
+    number = {w: i for i, w in enumerate(dict.fromkeys([*(w for ws in seeds for w in ws), *(w for _, ws in pieces for w in ws)]))}
+    own = [grams(w) for w in number]
+    known = list(dict.fromkeys(g for o in own for g in o))
+    place = {g: i for i, g in enumerate(known)}
+    gram_of = np.array([place[g] for o in own for g in o])
+    sizes = np.array([len(o) for o in own])
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+
+    def counted(words: np.ndarray) -> np.ndarray:
+        times = np.bincount(words, minlength=len(number))
+        return np.bincount(gram_of, weights=np.repeat(times, sizes), minlength=len(known))
+
+    base = np.stack([counted(np.array([number[w] for w in ws])) for ws in seeds])
+    prototypes = _bundle(base, known)
+    if not pieces:
+        return prototypes
+    flat = np.array([number[w] for _, ws in pieces for w in ws])
+    length = np.array([len(ws) for _, ws in pieces])
+    code = np.array([c for c, _ in pieces])
+    for _ in range(rounds):
+        words = np.add.reduceat(_dots(known, prototypes, {})[gram_of].astype(np.float64), starts, axis=0)
+        best = np.add.reduceat(words[flat], np.r_[0, np.cumsum(length)[:-1]], axis=0).argmax(1)
+        agreed = np.repeat(np.where(best == code, code, -1), length)
+        prototypes = _bundle(base + np.stack([counted(flat[agreed == c]) for c in range(len(LANGUAGES))]), known)
     return prototypes
 
 

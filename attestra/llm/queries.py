@@ -66,7 +66,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spoken = quotes.select("doc_id", F.explode("langs").alias("language")).distinct()
     only = spoken.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("language").alias("one"))
-    manifest = read(spark, sf_dir, "corpus_manifest").select("doc_id", languages.label_language(F.col("language")).alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
+    # a document listed twice is labelled right only if every listing is
+    agreed = F.when((F.count_if(F.col("label").isNull()) == 0) & (F.min("label") == F.max("label")), F.min("label"))
+    manifest = read(spark, sf_dir, "corpus_manifest").select("doc_id", languages.label_language(F.col("language")).alias("label")).groupBy("doc_id").agg(agreed.alias("label"))
     bad = manifest.join(only, "doc_id").where(~((F.col("n") == 1) & F.coalesce(F.col("label") == F.col("one"), F.lit(False)))).select("doc_id")
     corpus = spoken.join(bad, "doc_id", "left_semi").select(F.lit("corpus_manifest").alias("table_name"), F.col("doc_id").alias("record_key"), F.lit(0).alias("segment"), "language")
     return documents.unionByName(corpus).unionByName(several)
@@ -195,8 +197,16 @@ def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("grade", 6).alias("grade"), "band", F.lit(model.cv_accuracy).cast("double").alias("cv_accuracy"))
 
 
+def p9_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source (null: without one), labelled documents and share of them graded right while the source was held out; all_sources has the total."""
+    _, model = _graded(spark, sf_dir)
+    rows = [("source", *r) for r in model.cv_sources] + [("all_sources", None, sum(r[1] for r in model.cv_sources), sum(r[2] for r in model.cv_sources))]
+    found = spark.createDataFrame(rows, "level string, source string, n long, right long")
+    return found.select("level", "source", "n", F.round(F.try_divide(F.col("right").cast("double"), "n"), 6).alias("accuracy"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p3_records, p4_found, p4_classes, p5_found, p5_classes, p6_found, p6_report, p6_proportional, p6_balanced, p6_sample, p7_ids, p8_found, p8_report, p8_levels, p8_selection, p9_found, p9_grades)}
+    return {f.__name__: f for f in (p1_found, p1_agreement, p1_reliability, p2_found, p2_segments, p3_found, p3_records, p4_found, p4_classes, p5_found, p5_classes, p6_found, p6_report, p6_proportional, p6_balanced, p6_sample, p7_ids, p8_found, p8_report, p8_levels, p8_selection, p9_found, p9_grades, p9_accuracy)}
 
 
 STRATA_SQL = """WITH m AS (SELECT lower(trim(language)) l, lower(trim(origin_type)) o, count(DISTINCT candidate_id) n FROM candidate_mapping GROUP BY 1, 2),

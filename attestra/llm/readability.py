@@ -4,7 +4,8 @@ Method: gradient-boosted regression trees over the distributions, across a docum
 paragraphs, of length, vocabulary, syntax and cohesion measures. The trees are trained
 here on labelled documents (a bounded sample); predictions are cross-validated with
 whole sources held out, and the cross-validated predictions set the isotonic
-calibration and the cuts between bands.
+calibration and the cuts between bands. The accuracy reported for a source leaves its own
+predictions out of calibration and cuts as well.
 
 Scale: measures and predictions are one narrow pass without a shuffle; the driver sees
 at most MAX_LABELLED rows of measures.
@@ -163,12 +164,27 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] for b in blocks])
 
 
+def band_cuts(calibrated: np.ndarray, band: np.ndarray) -> tuple[float, float]:
+    """Cuts between the bands that most rows are on the right side of; ties to the one nearest the middle."""
+    cuts = []
+    for low in (1, 2):
+        options = np.arange(low + 0.2, low + 0.81, 0.05)
+        right = [((calibrated >= c) == (band > low)).mean() for c in options]
+        best = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
+        cuts.append(float(options[best[np.abs(options[best] - low - 0.5).argmin()]]))
+    return cuts[0], cuts[1]
+
+
 class GradeModel:
-    """Trees, calibration and cuts; ``cv_accuracy`` is that of bands of held-out sources (None if it can't be told)."""
+    """Trees, calibration and cuts.
+
+    ``cv_accuracy`` is that of the bands of held-out sources (None if it can't be told), ``cv_sources`` lists (source,
+    rows, right) of each: a source's rows were in neither the trees nor the calibration and cuts that grade them.
+    """
 
     def __init__(self, x: np.ndarray, grade: np.ndarray, source: list):
         self.trees = BoostedTrees(x, grade)
-        self.knots, self.cuts, self.cv_accuracy = (np.array([1.0, 3.0]), np.array([1.0, 3.0])), (1.5, 2.5), None
+        self.knots, self.cuts, self.cv_accuracy, self.cv_sources = (np.array([1.0, 3.0]), np.array([1.0, 3.0])), (1.5, 2.5), None, []
         if len(grade) < 4 * MIN_LEAF:
             return
         names = sorted({str(s) for s in source}, key=lambda s: (-sum(str(z) == s for z in source), s))
@@ -180,17 +196,20 @@ class GradeModel:
         for k in np.unique(fold):
             out = fold == k
             held[out] = BoostedTrees(x[~out], grade[~out]).predict(x[out])
-        self.knots = isotonic(held, grade)
-        calibrated = self.calibrate(held)
         band = np.clip(np.floor(grade + 0.5), 1, 3)
-        cuts = []
-        for low in (1, 2):
-            options = np.arange(low + 0.2, low + 0.81, 0.05)
-            right = [((calibrated >= c) == (band > low)).mean() for c in options]
-            best = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
-            cuts.append(float(options[best[np.abs(options[best] - low - 0.5).argmin()]]))
-        self.cuts = tuple(cuts)
-        self.cv_accuracy = float((self.bands(calibrated) == band).mean())
+        right = np.zeros(len(grade), dtype=bool)
+        for k in np.unique(fold):
+            out = fold == k
+            if out.all():
+                continue
+            self.knots = isotonic(held[~out], grade[~out])
+            self.cuts = band_cuts(self.calibrate(held[~out]), band[~out])
+            right[out] = self.bands(self.calibrate(held[out])) == band[out]
+        self.cv_accuracy = float(right.mean())
+        labels = np.array([str(s) if s is not None else "" for s in source])
+        self.cv_sources = [(str(s) or None, int((labels == s).sum()), int(right[labels == s].sum())) for s in np.unique(labels)]
+        self.knots = isotonic(held, grade)
+        self.cuts = band_cuts(self.calibrate(held), band)
 
     def calibrate(self, raw: np.ndarray) -> np.ndarray:
         return np.interp(raw, *self.knots)
