@@ -28,10 +28,10 @@ def _block() -> Column:
 def within(members: DataFrame, key: list[str]) -> DataFrame:
     """a < b: each unordered pair of ids of one group once. ``members``: key columns and a distinct id."""
     m = members.select(*key, "id").join(_blocks(members, key), key, "left").withColumn("_i", _block())
-    left = m.select(*key, "_i", F.explode(F.sequence(F.col("_i"), _count() - 1)).alias("_j"), F.col("id").alias("x"))
-    right = m.select(*key, F.explode(F.sequence(F.lit(0), F.col("_i"))).alias("_h"), "_i", F.col("id").alias("y")).withColumnsRenamed({"_i": "_j", "_h": "_i"})
-    met = left.join(right, [*key, "_i", "_j"]).where("_i < _j or x < y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    left = m.select(*key, "_i", F.explode(F.sequence(F.col("_i"), _count() - 1)).alias("_j"), F.col("id").alias("_x"))
+    right = m.select(*key, F.explode(F.sequence(F.lit(0), F.col("_i"))).alias("_h"), "_i", F.col("id").alias("_y")).withColumnsRenamed({"_i": "_j", "_h": "_i"})
+    met = left.join(right, [*key, "_i", "_j"]).where("_i < _j or _x < _y")
+    return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
 
 
 def between(groups: DataFrame, members: DataFrame, left: list[str], right: list[str], key: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -42,8 +42,8 @@ def between(groups: DataFrame, members: DataFrame, left: list[str], right: list[
     hot = _blocks(members, key)
     m = members.select(*key, "id").join(hot, key, "left").withColumn("_block", _block()).select(*key, "_block", "id")
     out = groups
-    for side, cols in (("x", left), ("y", right)):
+    for side, cols in (("_x", left), ("_y", right)):
         renamed = dict(zip(key, cols))
         out = out.join(hot.withColumnsRenamed(renamed), cols, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), _count() - 1))).drop("_blocks")
         out = out.join(m.withColumnsRenamed(renamed | {"id": side}), [*cols, "_block"]).drop("_block")
-    return out.where("x <> y").select(*(keep or []), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return out.where("_x <> _y").select(*(keep or []), F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))

@@ -41,7 +41,7 @@ def brute_canon(text):
     return "".join(map(chr, made))
 
 
-SAME = [("Ｐ０２", "P02"), ("Р02", "P02"), ("P​02", "P02"), ("P\U0001d7e2\U0001d7e4", "P02"), ("café", "café"), ("ﬃx", "ffix"), ("a b", "a b"), ("ﾄﾞ", "ド"), ("ё", "ё"), ("ạ́", "ạ́"), ("x\r\ny", "x\ny"), ("‑", "-"), ("Й", "Й")]
+SAME = [("Ꮲ02", "P02"), ("ꓑ02", "P02"), ("ρ", "p"), ("a‚ b", "a, b"), ("Ｐ０２", "P02"), ("Р02", "P02"), ("P​02", "P02"), ("P\U0001d7e2\U0001d7e4", "P02"), ("café", "café"), ("ﬃx", "ffix"), ("a b", "a b"), ("ﾄﾞ", "ド"), ("ё", "ё"), ("ạ́", "ạ́"), ("x\r\ny", "x\ny"), ("‑", "-"), ("Й", "Й")]
 UNLIKE = [("P02", "p02"), ("P02", "P2"), ("café", "cafe"), ("a b", "a\nb"), ("a,b", "a;b"), ("x²", "x2"), ("½", "1/2"), ("ab", "a b")]
 
 
@@ -79,6 +79,8 @@ def test_same_look_pairs(spark):
     got = {(r.id_a, r.id_b) for r in canon.same_look_pairs(df, "id", ["grp"], "v").collect()}
     assert got == {(1, 2), (2, 3), (6, 7)}
     assert canon.same_look_pairs(df.limit(0), "id", ["grp"], "v").count() == 0
+    classes = {r.id: (r.class_id, r.rows, r.spellings) for r in canon.look_classes(df, "id", ["grp"], "v").collect()}
+    assert set(classes) == {1, 2, 3, 4, 6, 7, 8} and classes[1] == classes[2] == classes[3] and classes[1][1:] == (3, 2) and classes[6][1:] == (2, 2) and classes[4][1:] == (1, 1)
     assert [r[0] for r in df.orderBy("id").select(canon.canonical(df.v)).collect()] == ["P02", "P02", "P02", "P02", None, "", "", "p02"]
 
 
@@ -137,10 +139,13 @@ def test_near_duplicates_of_nothing(spark):
 def test_register_codes_follow_the_hash_and_split_tables():
     h = np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     codes = neardup.register_codes(h, 3)
-    x = neardup._mix(h, 0x9E3779B97F4A7C15) >> np.uint64(12)
-    order = np.argsort(x, kind="stable")
-    assert (np.diff(codes[order, 0].astype(int)) >= 0).all()
-    lists = pa.array([list(range(50)), [7], list(range(30, 2000))], pa.list_(pa.int32()))
+    assert ((codes.reshape(len(h), neardup.BUCKETS, 3) != neardup.EMPTY).sum(1) <= 1).all()  # one bucket of each hash
+    for bucket in range(neardup.BUCKETS):
+        x = neardup._mix(h, 0x9E3779B97F4A7C15)
+        mine = codes[x >> np.uint64(62) == bucket, bucket * 3]
+        order = np.argsort(x[x >> np.uint64(62) == bucket], kind="stable")
+        assert (np.diff(mine[order].astype(int)) >= 0).all()
+    lists = pa.array([list(range(50)), [7], list(range(30, 2000))], pa.list_(pa.int64()))
     whole = neardup._register_matrix(lists)
     kept, neardup.MAX_VOCABULARY = neardup.MAX_VOCABULARY, 64
     try:
@@ -149,15 +154,66 @@ def test_register_codes_follow_the_hash_and_split_tables():
         neardup.MAX_VOCABULARY = kept
 
 
-def test_corrected_estimate_is_unbiased():
+@pytest.mark.parametrize("shared,own", [(30, 10), (12, 3), (3, 1), (0, 20)])
+def test_corrected_estimate_is_unbiased(shared, own):
     rng = np.random.default_rng(3)
-    errors = []
-    for _ in range(60):
-        shared, own = rng.integers(1, 2**63, 30, dtype=np.uint64), rng.integers(1, 2**63, (2, 10), dtype=np.uint64)
-        a, b = (neardup.small_codes(neardup.register_codes(np.r_[shared, o], 512)).min(0) for o in own)
-        c = neardup.chance_collision(np.array([40.0]), np.array([40.0]))[0]
-        errors.append(((a == b).mean() - c) / (1 - c) - 30 / 50)
-    assert abs(np.mean(errors)) < 0.01
+    n, errors = shared + own, []
+    for _ in range(80):
+        both, rest = rng.integers(1, 2**63, shared, dtype=np.int64), rng.integers(1, 2**63, (2, own), dtype=np.int64)
+        sets = pa.array([np.r_[both, o] for o in rest], pa.list_(pa.int64()))
+        a, b = neardup.small_codes(neardup._register_matrix(sets, 216)[:, :216])
+        c = neardup.chance_collision(np.array([n]), np.array([n]))[0]
+        errors.append(((a == b).mean() - c) / (1 - c) - shared / (n + own))
+    assert abs(np.mean(errors)) < 0.025
+
+
+def test_bands_find_similar_sets_as_often_as_stated():
+    rng = np.random.default_rng(5)
+    found = 0
+    for _ in range(300):
+        both, rest = rng.integers(1, 2**63, 28, dtype=np.int64), rng.integers(1, 2**63, (2, 6), dtype=np.int64)  # 28 of 40: 0.7
+        a, b = neardup._register_matrix(pa.array([np.r_[both, o] for o in rest], pa.list_(pa.int64()))).reshape(2, neardup.BANDS, neardup.ROWS)
+        found += bool((a == b).all(1).any())
+    assert found / 300 > 0.95
+
+
+def test_hot_band_keys_are_paired_in_blocks(spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(40)]
+    rows = [" ".join([*base, *(f"v{rng.randrange(10**6)}" for _ in range(2))]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "text_key long, text string")
+    kept, neardup.HOT_RUN = neardup.HOT_RUN, 7
+    try:
+        keys = np.zeros(40, np.uint32)
+        blob = keys.tobytes() + np.arange(40, dtype=np.uint16).tobytes()
+        batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([100]), pa.array([blob])], names=["part", "base", "blob"])
+        blocks = list(neardup._equal_key_pairs(iter([batch])))
+        assert all(b.column("a").null_count == b.num_rows for b in blocks)
+        sides = [pa.RecordBatch.from_arrays([b.column("left"), b.column("right")], names=["left", "right"]) for b in blocks]
+        got = [tuple(x) for b in neardup._block_pairs(iter(sides)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert sorted(got) == [(i, j) for i in range(100, 140) for j in range(i + 1, 140)]
+    finally:
+        neardup.HOT_RUN = kept
+    near = neardup.NearDuplicates(df, 0.7)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if jaccard(rows[i], rows[j]) >= 0.7}
+    assert {(r.a, r.b) for r in near.row_pairs(neardup.row_of_text(1)).collect()} == want and len(want) == 60 * 59 // 2
+
+
+def test_pairs_in_blocks(spark):
+    from attestra.llm import pairs
+
+    rng = random.Random(4)
+    rows = sorted({(rng.choice(["hot", "hot", "a", "b"]), i) for i in range(300)})
+    df = spark.createDataFrame(rows, "g string, id long")
+    kept, pairs.CHUNK = pairs.CHUNK, 20
+    try:
+        got = [tuple(r) for r in pairs.within(df, ["g"]).collect()]
+        assert sorted(got) == sorted((i, j) for g, i in rows for h, j in rows if g == h and i < j)
+        two = spark.createDataFrame([("hot", "a"), ("a", "b"), ("a", "none")], "x string, y string")
+        got = [tuple(r) for r in pairs.between(two, df, ["x"], ["y"], ["g"]).collect()]
+        assert sorted(got) == sorted((min(i, j), max(i, j)) for g, i in rows for h, j in rows if (g, h) in {("hot", "a"), ("a", "b")})
+    finally:
+        pairs.CHUNK = kept
 
 
 # --- languages ---
@@ -246,6 +302,16 @@ def test_ids_equal_the_library(spark, small):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
+def test_long_pieces_have_the_ids_of_short_ones():
+    rng = random.Random(7)
+    v = bpe.Vocabulary(bpe.vocabulary_lines())
+    for size in (2, 3, 50, 900):
+        piece = bytes(rng.choice(b"abcdeeeethiionst ") for _ in range(size))
+        assert v._merge_long(piece).tolist() == v.merge([piece])[0].tolist()
+    long_ = "".join(rng.choice("abcdeeeethiionst") for _ in range(5000)) + "é" * 700 + "a" * 3000
+    assert bpe.Encoder(bpe.vocabulary_lines()).encode([long_])[0].tolist() == library().encode(long_, add_special_tokens=False).ids
+
+
 def test_whole_table_round_trip(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     t = library()
@@ -295,6 +361,15 @@ def test_boosted_trees_and_isotonic():
     assert flat.bands(flat.calibrate(flat.trees.predict(np.zeros((2, 3))))).tolist() == [2, 2]
 
 
+def test_accuracy_of_held_out_sources_is_honest():
+    rng = np.random.default_rng(1)
+    x, noise = rng.normal(size=(300, 4)), rng.integers(1, 4, 300).astype(float)
+    model = readability.GradeModel(x, noise, [f"s{i % 6}" if i % 7 else None for i in range(300)])
+    assert model.cv_accuracy < 0.5  # nothing to learn: about a third
+    assert sum(n for _, n, _ in model.cv_sources) == 300 and {s for s, _, _ in model.cv_sources} == {None, *(f"s{i}" for i in range(6))}
+    assert sum(r for _, _, r in model.cv_sources) == round(model.cv_accuracy * 300)
+
+
 def test_graded_documents(spark, profiles):
     plain = "You can use the app each day. Bakers use cash. Is it cheap? Yes, it is easy and free. You can pay a bus fare. Families hold the rest at home. "
     hard = "Notwithstanding the extraterritorial programmability of asymmetries, the oversight substantiates that fiduciary jurisdictions, insofar as they presuppose the confidentiality of counterparties, ought to be circumscribed. "
