@@ -227,15 +227,16 @@ def same_look_pairs(values: DataFrame, id_col: str, group_cols: list[str], value
     """
     by = [*group_cols, "k1", "k2"]
     keys = materialize(looks(values, id_col, group_cols, value_col), "forms")
-    spellings = keys.groupBy(*by, "raw").agg(F.first("id").alias("_id")).drop("_id")
+    spellings = pairs.sizes(keys, [*by, "raw"])
     mixed = spellings.groupBy(*by).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*by)
     spellings = materialize(spellings.join(mixed, by, "left_semi"), "spellings")
     rows = keys.join(spellings, [*by, "raw"], "left_semi")
     left = spellings.select(*by, F.col("raw").alias("raw_a"))
+    counted = spellings
     two = left.join(spellings.select(*by, F.col("raw").alias("raw_b")), by).where("raw_a < raw_b")
     sides = {s: [f"{c}_{s}" for c in (*by, "raw")] for s in ("l", "r")}
     two = two.select(*[F.col(c).alias(f"{c}_{s}") for s in ("l", "r") for c in by], F.col("raw_a").alias("raw_l"), F.col("raw_b").alias("raw_r"), *group_cols)
-    out = pairs.between(two, rows, sides["l"], sides["r"], [*by, "raw"], keep=group_cols)
+    out = pairs.between(two, rows, counted, sides["l"], sides["r"], [*by, "raw"], keep=group_cols)
     return out.select(*group_cols, F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 

@@ -42,8 +42,8 @@ BANDS, ROWS = 96, 9
 #: Registers are HASHES * BUCKETS; one bucket of each hash comes before the next, so the rows of a band are of different hashes.
 BUCKETS = 4
 HASHES = BANDS * ROWS // BUCKETS
-#: Registers (of different hashes) that the estimate reads, with 8 bits each.
-SKETCH = 64
+#: Registers (of different hashes) that the estimate reads, 4 bits of each, and how often those agree by chance.
+SKETCH, CHANCE = 64, 1 / 16
 EMPTY = 0xFFFF
 #: Classes under one band key that a task pairs at once.
 HOT_RUN = 4096
@@ -100,25 +100,16 @@ def fill_empty(registers: np.ndarray) -> np.ndarray:
 
 
 def small_codes(registers: np.ndarray) -> np.ndarray:
-    """8-bit registers of the sketch: 4 bits of leading zeros, 4 of mantissa."""
-    return (registers >> 8).astype(np.uint8)
-
-
-def chance_collision(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Probability that 8-bit registers of unrelated sets of n and m words agree."""
-    codes = np.arange(256)
-    zeros, mantissa = 15 - (codes >> 4), codes & 15
-    lo = np.where(zeros < 15, 2.0 ** -(zeros + 1.0) * (1 + mantissa / 16), 2.0**-15 * mantissa / 16)
-    hi = np.where(zeros < 15, 2.0 ** -(zeros + 1.0) * (1 + (mantissa + 1) / 16), 2.0**-15 * (mantissa + 1) / 16)
-    sizes, at = np.unique(np.r_[n, m], return_inverse=True)
-    # a word falls in the bucket with probability 1 / BUCKETS; of filled buckets only
-    p = (1 - lo[None, :] / BUCKETS) ** sizes[:, None] - (1 - hi[None, :] / BUCKETS) ** sizes[:, None]
-    p /= 1 - (1 - 1 / BUCKETS) ** sizes[:, None]
-    a, b = at[: len(n)], at[len(n) :]
-    out = np.empty(len(n))
-    for i in range(0, len(n), 4096):
-        out[i : i + 4096] = (p[a[i : i + 4096]] * p[b[i : i + 4096]]).sum(1)
-    return out
+    """The last 4 mantissa bits of each register, two to a byte: unequal registers agree in them once in 16."""
+    low = (registers & 15).astype(np.uint8)
+    return low[:, 0::2] | low[:, 1::2] << 4
+
+
+def similarity(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from the share of agreeing small codes, corrected for chance collisions."""
+    differ = left ^ right
+    agree = ((differ & 15) == 0).mean(1) / 2 + ((differ >> 4) == 0).mean(1) / 2
+    return (agree - CHANCE) / (1 - CHANCE)
 
 
 class _Hashes(dict):
@@ -286,7 +277,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first SKETCH registers of each class, which are banded as well, cut to 8 bits."""
+    """The first SKETCH registers of each class, which are banded as well, cut to 4 bits."""
     for batch in batches:
         sketch = small_codes(_register_matrix(batch.column(1), SKETCH)[:, :SKETCH])
         sizes = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int32)
@@ -299,11 +290,10 @@ def _likely(threshold: float):
             if not batch.num_rows:
                 continue
             n, m = batch.column(2).to_numpy().astype(float), batch.column(4).to_numpy().astype(float)
-            left = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            right = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            c = chance_collision(n, m)
-            estimate = ((left == right).mean(1) - c) / (1 - c)
-            slack = 4 * np.sqrt(threshold * (1 - threshold) / SKETCH)  # four standard deviations
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH // 2) for c in (3, 5))
+            estimate = similarity(left, right)
+            equal = CHANCE + (1 - CHANCE) * threshold
+            slack = 4 * np.sqrt(equal * (1 - equal) / SKETCH) / (1 - CHANCE)  # four standard deviations
             ok = (estimate >= threshold - slack) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
@@ -337,16 +327,15 @@ class NearDuplicates:
         self._release(spark)
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         hot = met.where("left is not null").select("left", "right").repartition(tasks).mapInArrow(_block_pairs, "a long, b long")
-        candidates = materialize(met.where("left is null").select("a", "b").union(hot).distinct(), "candidates")
-        discard(met)
-        self._release(spark)
+        # placed by a, where the sketches of a come next: once through the network for both
+        candidates = met.where("left is null").select("a", "b").union(hot).repartition("a").dropDuplicates(["a", "b"])
         sketch = classes.select("id", "words").mapInArrow(_sketches, "id long, n int, sketch binary")
         sketch = materialize(sketch, "sketches")
         left = sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         right = sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         likely = candidates.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_likely(threshold), "a long, b long")
         likely = materialize(likely, "likely")
-        discard(candidates, sketch)
+        discard(met, sketch)
         self._release(spark)
         involved = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         involved = classes.join(involved, "id", "left_semi")
@@ -369,10 +358,10 @@ class NearDuplicates:
 
     def row_pairs(self, row_of: Column) -> DataFrame:
         """record_a < record_b of all linked rows, copies included, each pair once; ``row_of`` maps text_key to the row's id."""
-        m = self.members.select(row_of.alias("id"), "d1", "d2").distinct()
-        many = m.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
-        same = pairs.within(m.join(many, ["d1", "d2"], "left_semi"), ["d1", "d2"])
-        cross = pairs.between(self.links, m, ["a1", "a2"], ["b1", "b2"], ["d1", "d2"])
+        m = self.members.select(row_of.alias("id"), "d1", "d2")
+        counted = materialize(pairs.sizes(m, ["d1", "d2"]), "sizes")
+        same = pairs.within(m, counted, ["d1", "d2"])
+        cross = pairs.between(self.links, m, counted, ["a1", "a2"], ["b1", "b2"], ["d1", "d2"])
         return same.union(cross).distinct()
 
     def rows(self, row_of: Column) -> DataFrame:

@@ -161,9 +161,8 @@ def test_corrected_estimate_is_unbiased(shared, own):
     for _ in range(80):
         both, rest = rng.integers(1, 2**63, shared, dtype=np.int64), rng.integers(1, 2**63, (2, own), dtype=np.int64)
         sets = pa.array([np.r_[both, o] for o in rest], pa.list_(pa.int64()))
-        a, b = neardup.small_codes(neardup._register_matrix(sets, 216)[:, :216])
-        c = neardup.chance_collision(np.array([n]), np.array([n]))[0]
-        errors.append(((a == b).mean() - c) / (1 - c) - shared / (n + own))
+        codes = neardup.small_codes(neardup._register_matrix(sets, 216)[:, :216])
+        errors.append(neardup.similarity(codes[:1], codes[1:])[0] - shared / (n + own))
     assert abs(np.mean(errors)) < 0.025
 
 
@@ -207,10 +206,10 @@ def test_pairs_in_blocks(spark):
     df = spark.createDataFrame(rows, "g string, id long")
     kept, pairs.CHUNK = pairs.CHUNK, 20
     try:
-        got = [tuple(r) for r in pairs.within(df, ["g"]).collect()]
-        assert sorted(got) == sorted((i, j) for g, i in rows for h, j in rows if g == h and i < j)
+        got = [tuple(r) for r in pairs.within(df.union(df.limit(30)), pairs.sizes(df, ["g"]), ["g"]).collect()]
+        assert sorted(set(got)) == sorted((i, j) for g, i in rows for h, j in rows if g == h and i < j)
         two = spark.createDataFrame([("hot", "a"), ("a", "b"), ("a", "none")], "x string, y string")
-        got = [tuple(r) for r in pairs.between(two, df, ["x"], ["y"], ["g"]).collect()]
+        got = [tuple(r) for r in pairs.between(two, df, pairs.sizes(df, ["g"]), ["x"], ["y"], ["g"]).collect()]
         assert sorted(got) == sorted((min(i, j), max(i, j)) for g, i in rows for h, j in rows if (g, h) in {("hot", "a"), ("a", "b")})
     finally:
         pairs.CHUNK = kept
@@ -252,6 +251,13 @@ def test_paragraphs_and_mixed_text(profiles):
     assert langs(profiles, odd) == [(0, "en")]
 
 
+def test_prototypes_are_bundled_again_three_times(monkeypatch):
+    made, real = [], languages._bundle
+    monkeypatch.setattr(languages, "_bundle", lambda *a: made.append(1) or real(*a))
+    languages.train([("en", "The bank keeps the ledger of all payments.")])
+    assert len(made) == 1 + 3
+
+
 def test_seeds_alone_separate_languages():
     p = languages.Profiles(languages.train([]))
     assert [x[0][1] for x in languages.judge(p, ["the one that they have for you and not the other", "el que no se como para los una del"], False)] == ["en", "es"]
