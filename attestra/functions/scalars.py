@@ -142,6 +142,11 @@ def f1(precision: Column, recall: Column) -> Column:
     return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
 
 
+def names_english(label: Column | str) -> Column:
+    """Whether a language label names English by code, code with region or name, in any case; null does not."""
+    return F.coalesce(F.lower(F.trim(as_col(label))).rlike("^(en|eng|english)([-_][a-z0-9]+)*$"), F.lit(False))
+
+
 def seed_of(text: Column | str) -> Column:
     """First 16 hex digits of the SHA-256 as an unsigned whole number."""
     return F.conv(F.substring(F.sha2(as_col(text), 256), 1, 16), 16, 10).cast("decimal(20,0)")

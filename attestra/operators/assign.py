@@ -5,7 +5,7 @@ from __future__ import annotations
 from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 1_000_000
@@ -71,16 +71,25 @@ def one_to_one(edges: list[tuple]) -> list[tuple]:
 
 
 def assign(edge_rows: DataFrame, group: list[str]) -> DataFrame:
-    """l, r, score, method of the matching within each group (a page: bounded by what one page holds)."""
+    """l, r, score, method of the matching within each group; parallel edges of a pair keep the best.
+
+    An edge that is the only one at both of its ends is in every best matching and never leaves the JVM; only
+    entangled edges are matched in Python, a page at a time.
+    """
+    edge_rows = edge_rows.groupBy(*group, "l", "r").agg(F.max_by(F.struct("score", "method"), "score").alias("b")).select(*group, "l", "r", "b.*")
+    ends = lambda c: F.count(F.lit(1)).over(Window.partitionBy(*group, c))
+    edge_rows = edge_rows.withColumn("_alone", (ends("l") == 1) & (ends("r") == 1))
     kinds = {c: edge_rows.schema[c].dataType.simpleString() for c in (*group, "l", "r")}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", score double, method string"
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         method = {(l, r): m for l, r, m in zip(pdf.l, pdf.r, pdf.method)}
         rows = [[*key, l, r, s, method[l, r]] for l, r, s in one_to_one(list(zip(pdf.l, pdf.r, pdf.score)))]
         return pd.DataFrame(rows, columns=[*group, "l", "r", "score", "method"])
 
-    return edge_rows.select(*group, "l", "r", "score", "method").groupBy(*group).applyInPandas(run, schema)
+    columns = [*group, "l", "r", "score", "method"]
+    entangled = edge_rows.where("not _alone").select(*columns).groupBy(*group).applyInPandas(run, schema)
+    return edge_rows.where("_alone").select(*columns).unionByName(entangled)
 
 
 def records(left: DataFrame, left_id: str, assigned: DataFrame, edge_rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +83,15 @@ def alignment(records: DataFrame, truth: str = "truth", by: Sequence[str] = ())
     return out.withColumn("conservative_precision", F.try_divide(F.col("assigned_positive").cast("double"), F.col("assigned_positive") + F.col("assigned_negative") + F.col("unassigned")))
 
 
+def candidate_summary(rows: DataFrame, by: Sequence[str], methods: Mapping[str, Sequence[str]]) -> DataFrame:
+    """on_pages, assigned, unassigned, assigned by truth, and counts of groups of methods; ``rows`` has method (null: unassigned) and truth."""
+    assigned = F.col("method").isNotNull()
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("on_pages"), F.count_if(assigned).alias("assigned"), F.count_if(~assigned).alias("unassigned"),
+        *[F.count_if(assigned & (F.col("truth") == t)).alias(f"assigned_{t}") for t in ("positive", "negative", "excluded")], *[F.count_if(F.col("method").isin(*m)).alias(n) for n, m in methods.items()],
+    )
+
+
 def span_fidelity(rows: DataFrame, quote: str, source: str, rendered: str) -> DataFrame:
     """supported, unsupported, render_review, fidelity and gate of quotes against their source."""
     q, s = normalize_span(quote), normalize_span(source)

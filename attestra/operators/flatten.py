@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.functions.scalars import falsy, split_ids
+from attestra.functions.scalars import falsy, names_english, split_ids
 
 STATEMENT = "struct<block_id:string,quote:string,quote_en:string,code1:string,odr:string,privacy_direction:string,privacy_relation:string,strength:int,source_mode:string>"
 RESPONSE_SCHEMA = f"request_id string, units array<struct<unit_id:string,status:string,statements:array<{STATEMENT}>>>"
@@ -44,16 +44,16 @@ def retry_merge(main: DataFrame, retry: DataFrame, key: str, succeeded) -> DataF
 
 
 def drop_translation(statements: DataFrame, language: str) -> DataFrame:
-    """Nulls the translation of statements that are already in the target language."""
-    return statements.withColumn("quote_en", F.when(F.lower(F.trim(language)) == "en", F.lit(None)).otherwise(F.col("quote_en")))
+    """Nulls the translation of statements whose language label names English, in any notation; an unknown language keeps it."""
+    return statements.withColumn("quote_en", F.when(names_english(language), F.lit(None)).otherwise(F.col("quote_en")))
 
 
 def paginate(texts: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
-    """Units of at most ``budget`` characters, cut at blanks where possible: id, ordinal, piece.
+    """Units of at most ``budget`` characters, cut before a blank where possible: id, ordinal, piece.
 
-    A null or empty text is one unit with an empty piece; no character is lost or added.
+    A text within the budget is one unit, a null or empty one has an empty piece; no character is lost or added.
     """
-    pattern = rf"(?s)(.{{1,{budget}}}(?=\s)|.{{1,{budget}}})"
+    pattern = rf"(?s)(.{{1,{budget}}}(?=[ \t\n\x0B\f\r]|\z)|.{{1,{budget}}})"
     pieces = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), 1)
     return texts.select(id_col, F.posexplode(F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)).alias("ordinal", "piece"))
 

@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from attestra.functions.scalars import f1
 
 
+#: Rows of a table that a generic statistic may be computed on in one task.
+MAX_LOCAL = 1_000_000
+
+
 def draw_index(seed: str, draw: Column, slot: Column, size: Column) -> Column:
     """Pseudo-random index in 0..size-1 of a slot of a draw."""
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), draw.cast("string"), slot.cast("string"))), 1, 12)
@@ -94,10 +98,13 @@ def bootstrap_confusion(totals: DataFrame, cluster: str, draws: int, seed: str,
 def cluster_bootstrap(rows: DataFrame, cluster: str, statistic: Callable[[pd.DataFrame], float], draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """Generic interval of any statistic of pandas rows, one task per draw.
 
-    For small, already reduced tables: they are shipped to every draw. A cluster drawn
+    For small, already reduced tables (up to MAX_LOCAL rows, checked): they are shipped to every draw; sums of any number of
+    clusters are resampled by ``resample_poisson``. A cluster drawn
     again gets a new name in each copy. Undefined values of the statistic are left out.
     """
-    local = rows.toPandas()
+    local = rows.limit(MAX_LOCAL + 1).toPandas()
+    if len(local) > MAX_LOCAL:
+        raise ValueError(f"more than {MAX_LOCAL} rows: reduce them to totals per cluster and use resample_poisson")
     names = sorted(local[cluster].dropna().unique().tolist())
     parts = {n: local[local[cluster] == n] for n in names}
 
@@ -133,9 +140,8 @@ def permutation_test(rows: DataFrame, key: str, x: str, y: str, draws: int, seed
     """
     clean = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     place = clean.withColumn("i", F.row_number().over(Window.orderBy("k")))
-    draws_ = rows.sparkSession.range(draws).select(F.col("id").alias("draw"))
-    # the entity table is small and fixed in size; each draw lists it once
-    listed = draws_.join(F.broadcast(clean.agg(F.collect_list("k").alias("ks"))), F.lit(True)).select("draw", F.explode("ks").alias("k"))
+    # every draw lists every entity: the rows are made where the entity is, nothing is collected
+    listed = clean.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("k")))
     shuffled = listed.withColumn("i", F.row_number().over(Window.partitionBy("draw").orderBy(order, "k")))
     both = shuffled.join(place.select("i", "x"), "i").join(place.select("k", "y"), "k")
@@ -152,7 +158,7 @@ def exact_inference(rows: DataFrame, by: Sequence[str], x: str, y: str, seed_col
     """
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by) + ", r double, n long, low double, high double, p double"
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         clean = pdf[[x, y]].dropna().astype(float).to_numpy()
         rng = np.random.default_rng(int(hashlib.sha256(str(pdf[seed_col].iloc[0]).encode()).hexdigest()[:16], 16))
 

@@ -17,18 +17,23 @@ def eligible(allocations: DataFrame) -> DataFrame:
     return kept.withColumns({"entity": entity_prefix("doc_id"), "odr_weight": lookup("odr", ODR_WEIGHT, None), "weight": weight, "is_privacy": F.col("direction") != "neutral"})
 
 
-def entity_scores(rows: DataFrame, lexicon: Mapping[str, Sequence[str]], signals: Mapping[str, Mapping[str, float]], by: Sequence[str] = ("variant", "entity"), num_family: str = "PRIV", den_families: Sequence[str] = ("PRIV", "AML", "KYC", "TECH")) -> DataFrame:
+def with_hits(cells: DataFrame, lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Adds the keyword hits of each goal in the text (hits_<goal>): before the fan-out to variants, so every text is searched once."""
+    return cells.withColumns({f"hits_{g}": keyword_hits("text", patterns) for g, patterns in lexicon.items()})
+
+
+def entity_scores(rows: DataFrame, lexicon: Mapping[str, Sequence[str]], signals: Mapping[str, Mapping[str, float]], by: Sequence[str] = ("variant", "entity"), num_family: str = "PRIV", den_families: Sequence[str] = ("PRIV", "AML", "KYC", "TECH"), kept_prefix: str | None = None) -> DataFrame:
     """One aggregation per entity: mass, counts, family share, posture, state ratio and raw goal scores.
 
-    Goal score: weighted mean of keyword hits in the representative text plus the signal of the code's root.
+    Goal score: weighted mean of keyword hits in the representative text (of :func:`with_hits`, or searched here) plus the signal of the code's root.
     The posture divides weighted signs by plain mass, so it may leave -1..1. Undefined shares are
     null, an undefined state ratio and undefined goal scores are 0.
     """
     sign, relation = lookup("direction", DIRECTION_SIGN, 0.0), lookup("relation", RELATION_WEIGHT, DEFAULT_RELATION)
     state = F.col("is_privacy") & (F.col("relation") == "from_state")
     goals = list(lexicon)
-    root = code_root("code")
-    hit = {g: keyword_hits("text", lexicon[g]) + (lookup(root, signals_of, 0.0) if (signals_of := {c: w[g] for c, w in signals.items() if g in w}) else F.lit(0.0)) for g in goals}
+    root = code_root("code", kept_prefix)
+    hit = {g: (F.col(f"hits_{g}") if f"hits_{g}" in rows.columns else keyword_hits("text", lexicon[g])) + (lookup(root, signals_of, 0.0) if (signals_of := {c: w[g] for c, w in signals.items() if g in w}) else F.lit(0.0)) for g in goals}
     scored = rows.withColumns({f"hit_{g}": h for g, h in hit.items()})
     total = F.sum("weight")
     return scored.groupBy(*by).agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,18 +17,18 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(F.when(known, value * weight)), F.sum(F.when(known, weight)))
 
 
-def stratum_detail(rows: DataFrame, value: str, stratum: str, design: DataFrame) -> DataFrame:
-    """stratum, population, n, mean, variance of the strata that have rows; the variance of a single row is .25."""
-    stage = rows.where(F.col(value).isNotNull()).groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("v"))
-    return design.select("stratum", "population").join(stage, "stratum").select("stratum", "population", "n", "mean", F.coalesce("v", F.lit(0.25)).alias("variance"))
+def stratum_detail(rows: DataFrame, value: str, stratum: str, design: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, stratum, population, n, mean, variance of the strata that have rows; the variance of a single row is .25."""
+    stage = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("v"))
+    return design.select("stratum", "population").join(stage, "stratum").select(*by, "stratum", "population", "n", "mean", F.coalesce("v", F.lit(0.25)).alias("variance"))
 
 
-def stratified(rows: DataFrame, value: str, stratum: str, design: DataFrame) -> DataFrame:
-    """estimate, standard_error, low, high with finite-population correction; shares are of the whole design's population."""
-    detail = stratum_detail(rows, value, stratum, design)
+def stratified(rows: DataFrame, value: str, stratum: str, design: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, estimate, standard_error, low, high with finite-population correction; shares are of the whole design's population."""
+    detail = stratum_detail(rows, value, stratum, design, by)
     total = design.agg(F.sum("population").cast("double").alias("all"))
     w = F.col("population") / F.col("all")
-    out = detail.join(F.broadcast(total), F.lit(True)).agg(
+    out = detail.join(F.broadcast(total), F.lit(True)).groupBy(*by).agg(
         F.sum(w * F.col("mean")).alias("estimate"),
         F.sqrt(F.greatest(F.sum(w * w * (1 - F.col("n") / F.col("population")) * F.col("variance") / F.col("n")), F.lit(0.0))).alias("standard_error"),
     )

@@ -13,14 +13,6 @@ from attestra.functions.scalars import annotation, entity_prefix
 from attestra.operators import assign, flatten, textmatch
 from attestra.tables import materialize, read
 
-# Patterns counted by the lexical scores of the queries (one point per pattern that matches).
-LEXICON = {
-    "privacy": ["privacy", "anonym", "personal data", "confidential"],
-    "safety": ["audit", "surveillance", "supervis", "suspicious"],
-    "reach": ["offline", "rural", "merchant", "retail"],
-}
-# Structural signal of a code's first two parts for each goal.
-SIGNALS = {"PRIV.ANON": {"privacy": 1.0}, "PRIV.MIN": {"privacy": 0.5}, "AML.MON": {"safety": 1.0}, "AML.RISK": {"safety": 0.5}, "ACCESS.universal": {"reach": 1.0}, "CASH.relation": {"reach": 0.25}}
 PROVIDERS = ("openai", "claude")
 # Least score of a statement and a paragraph, or of two statements, that count as the same text.
 MATCH = 0.8
@@ -30,10 +22,12 @@ PLACEHOLDERS = ("none", "null", "n/a", "-", "")
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per statement_id: the latest received, ties to the smaller record_id."""
-    raw = read(spark, sf_dir, "provider_outputs")
-    cols = ["record_id", "provider", "unit_id", "doc_id", "page", "quote", "quote_en", "code1", "odr", "privacy_direction", "privacy_relation", "strength", "source_mode"]
-    order = F.struct(F.coalesce("received_at", F.lit("0001-01-01").cast("timestamp_ntz")), -F.col("record_id"))
-    return raw.where("statement_id is not null").groupBy("statement_id").agg(F.max_by(F.struct(*cols), order).alias("x")).select("statement_id", "x.*")
+    cols = ["statement_id", "record_id", "provider", "unit_id", "doc_id", "page", "quote", "quote_en", "code1", "odr", "privacy_direction", "privacy_relation", "strength", "source_mode", "qc_status"]
+    raw = read(spark, sf_dir, "provider_outputs").where("statement_id is not null")
+    order = F.struct(F.coalesce("received_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), (-F.col("record_id")).alias("minus"))
+    # the winner is found on three narrow columns; of its row only the columns a query uses are read and moved
+    latest = raw.groupBy("statement_id").agg(F.max(order).alias("x")).select("statement_id", (-F.col("x.minus")).alias("record_id"))
+    return raw.select(*cols).join(latest, ["statement_id", "record_id"], "left_semi")
 
 
 def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +72,16 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ref.withColumn("code_hit", F.col("reference_code") == F.col("found_code"))
 
 
+def paragraph_edges(spark: SparkSession, sf_dir: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Statements on pages of the reference, its distinct paragraphs of a page (par: the first listing), and the edges between them that reach a score."""
+    page = ["doc_id", "page"]
+    ref = read(spark, sf_dir, "reference_paragraphs").select("ref_id", *page, "text", F.col("reference_truth").alias("truth"))
+    texts = ref.where("text is not null").groupBy(*page, "text").agg(F.min("ref_id").alias("par"), F.coalesce(F.min_by("truth", "ref_id"), F.lit("")).alias("truth"))
+    st = quoted(spark, sf_dir).select("provider", "statement_id", *page, "quote", "quote_en", "code1", "qc_status")
+    st = materialize(st.join(ref.select(*page).distinct(), page, "left_semi"), "statements")
+    return st, texts, textmatch.edges(st, texts, page, "statement_id", "par", ["quote", "quote_en"], ["text"], threshold)
+
+
 def assigned_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements on pages of the reference, each with the text of the paragraph it is assigned to.
 
@@ -85,11 +89,7 @@ def assigned_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``truth`` (that of the paragraph's first listing) are null for statements that got none.
     """
     page = ["doc_id", "page"]
-    ref = read(spark, sf_dir, "reference_paragraphs").select("ref_id", *page, "text", F.col("reference_truth").alias("truth"))
-    texts = ref.where("text is not null").groupBy(*page, "text").agg(F.min("ref_id").alias("par"), F.coalesce(F.min_by("truth", "ref_id"), F.lit("")).alias("truth"))
-    st = quoted(spark, sf_dir).select("provider", "statement_id", *page, "quote", "quote_en", "code1")
-    st = materialize(st.join(ref.select(*page).distinct(), page, "left_semi"), "statements")
-    found = textmatch.edges(st, texts, page, "statement_id", "par", ["quote", "quote_en"], ["text"], MATCH)
+    st, texts, found = paragraph_edges(spark, sf_dir, MATCH)
     found = found.join(st.select(F.col("statement_id").alias("l"), "provider"), "l")
     pairs = assign.assign(found, ["provider", *page]).select(F.col("l").alias("statement_id"), F.col("r").alias("par"))
     return st.join(pairs, "statement_id", "left").join(texts.select("par", "text", "truth"), "par", "left").drop("par")
@@ -121,11 +121,47 @@ def design(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators per entity, from the source documents."""
     raw = read(spark, sf_dir, "corpus_manifest").distinct()
-    return raw.groupBy(entity_prefix("doc_id").alias("entity")).agg(F.avg("pages").alias("pages"), F.avg("bytes").alias("bytes"), F.avg(F.col("included").cast("double")).alias("included"))
+    return raw.groupBy(entity_prefix("doc_id").alias("entity")).agg(F.avg("pages").alias("pages"), F.avg("bytes").alias("bytes"), F.avg(F.col("included").cast("double")).alias("included"), F.avg((F.col("scope") == "retail_or_general").cast("double")).alias("retail"))
 
 
 __all__ = ["annotation"]
 
+def norm_sql(c: str) -> str:
+    """The normalized text; SQL engines have no compatibility forms, so full-width letters and digits and ligatures are mapped by hand."""
+    plain = "0123456789abcdefghijklmnopqrstuvwxyz"
+    wide = "".join(chr(ord(x) + 0xFEE0) for x in plain)
+    c = f"lower(nfc_normalize({c}))"
+    for sign, letters in {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl"}.items():
+        c = f"replace({c}, '{sign}', '{letters}')"
+    return rf"trim(regexp_replace(translate({c}, '{wide}', '{plain}'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+
+
+CLEAN = "CASE WHEN lower(trim({c})) IN ('none', 'null', 'n/a', '-', '') THEN NULL ELSE {c} END"
+
+
+def runs_sql(items: str, pairs: str) -> str:
+    """Longest common run of two lists (a, b) of each pair: equal items, grouped along the diagonals they follow each other on."""
+    side = lambda c, n: f"SELECT pair, unnest({items.format(c=c)}) w, unnest(range(len({items.format(c=c)}))) {n} FROM {pairs}"
+    met = f"SELECT x.pair, i, i - j d, i - row_number() OVER (PARTITION BY x.pair, i - j ORDER BY i) g FROM ({side('qn', 'i')}) x JOIN ({side('pn', 'j')}) y ON x.pair = y.pair AND x.w = y.w"
+    return f"SELECT pair, max(n) run FROM (SELECT pair, count(*) n FROM ({met}) GROUP BY pair, d, g) GROUP BY 1"
+
+
+def scores_sql(pairs: str, wanted: str = "true") -> str:
+    """pair, score, method of a view of pairs with texts q and p: the match ladder; the fuzzy stages only for pairs that are ``wanted``."""
+    return f"""t0 AS (SELECT *, trim(q, ' ') qr, trim(p, ' ') pr, {norm_sql('q')} qn, {norm_sql('p')} pn FROM {pairs}),
+        t1 AS (SELECT *, CASE WHEN qr = '' OR pr = '' THEN 'none' WHEN qr = pr THEN 'raw_equal' WHEN contains(pr, qr) THEN 'raw_contains' WHEN least(length(qn), length(pn)) < 12 THEN 'none'
+          WHEN qn = pn THEN 'normalized_equal' WHEN contains(pn, qn) THEN 'normalized_contains' WHEN contains(qn, pn) THEN 'normalized_container' END m FROM t0),
+        t2 AS (SELECT * FROM t1 WHERE m IS NULL AND {wanted}), rt AS ({runs_sql("string_split({c}, ' ')", "t2")}), rc AS ({runs_sql("string_split(replace({c}, ' ', ''), '')", "t2")}),
+        t3 AS (SELECT t1.*, least(len(string_split(qn, ' ')), len(string_split(pn, ' '))) nt, least(length(replace(qn, ' ', '')), length(replace(pn, ' ', ''))) nc, coalesce(rt.run, 0) kt, coalesce(rc.run, 0) kc
+          FROM t1 LEFT JOIN rt USING (pair) LEFT JOIN rc USING (pair)),
+        t4 AS (SELECT *, CASE WHEN nt >= 4 AND kt >= CASE WHEN nt <= 6 THEN 4 ELSE 6 END THEN kt::DOUBLE / nt ELSE 0e0 END st, CASE WHEN nc >= 20 AND kc >= 20 THEN kc::DOUBLE / nc ELSE 0e0 END sc FROM t3),
+        scored AS (SELECT pair, CASE WHEN m = 'none' THEN 0e0 WHEN m IS NOT NULL THEN 1e0 ELSE greatest(st, sc) END score, CASE WHEN m IS NOT NULL THEN m WHEN sc > st THEN 'fuzzy_character' WHEN st > 0 THEN 'fuzzy_token' ELSE 'none' END AS method FROM t4)"""
+
+
+# A run of most of a text holds most of its words; only texts of very few words are compared without sharing any.
+SHARED = "(least(len(string_split(qn, ' ')), len(string_split(pn, ' '))) < 6 OR len(list_intersect(string_split(qn, ' '), string_split(pn, ' '))) >= 0.3 * least(len(list_distinct(string_split(qn, ' '))), len(list_distinct(string_split(pn, ' ')))))"
+
+
 SQL = {
     "st": """st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY coalesce(received_at, TIMESTAMP '0001-01-01') DESC, record_id) rn
         FROM provider_outputs WHERE statement_id IS NOT NULL) WHERE rn = 1)""",
@@ -150,6 +186,16 @@ SQL = {
         par AS (SELECT r.ref_id, r.doc_id, r.page, r.stratum, r.reference_truth truth, r.reference_code, o.code code_openai, c.code code_claude, o.code IS NOT NULL found_openai,
         c.code IS NOT NULL found_claude, o.code IS NOT NULL OR c.code IS NOT NULL found_any, coalesce(o.code, c.code) found_code FROM reference_paragraphs r
         LEFT JOIN pg o ON o.doc_id = r.doc_id AND o.page = r.page AND o.provider = 'openai' LEFT JOIN pg c ON c.doc_id = r.doc_id AND c.page = r.page AND c.provider = 'claude')""",
+    "sp": f"""par0 AS (SELECT doc_id, page, text, min(ref_id) par, coalesce(arg_min(reference_truth, ref_id), '') truth, arg_min(stratum, ref_id) stratum FROM reference_paragraphs WHERE text IS NOT NULL GROUP BY 1, 2, 3),
+        onp AS (SELECT st.* FROM st SEMI JOIN (SELECT DISTINCT doc_id, page FROM reference_paragraphs) USING (doc_id, page)),
+        f0 AS (SELECT statement_id, doc_id, page, unnest([{CLEAN.format(c='quote')}, {CLEAN.format(c='quote_en')}]) q, unnest([0, 1]) f FROM onp),
+        f1 AS (SELECT statement_id, f, par, q, text p, dense_rank() OVER (ORDER BY q, text) pair FROM f0 JOIN par0 USING (doc_id, page) WHERE q IS NOT NULL), f2 AS (SELECT DISTINCT pair, q, p FROM f1),
+        {scores_sql("f2")},
+        sp AS (SELECT statement_id, par, max(score) score, arg_max(method, (score, -f)) AS method, CASE arg_max(f, (score, -f)) WHEN 0 THEN 'quote' ELSE 'quote_en' END field FROM f1 JOIN scored USING (pair) WHERE score > 0 GROUP BY 1, 2)""",
+    "xp": f"""x0 AS (SELECT statement_id, provider, doc_id, page, unnest([{CLEAN.format(c='quote')}, {CLEAN.format(c='quote_en')}]) t, unnest([0, 1]) f FROM st),
+        x1 AS (SELECT a.doc_id, a.page, a.statement_id l, b.statement_id r, a.f * 2 + b.f o, a.t q, b.t p, dense_rank() OVER (ORDER BY a.t, b.t) pair FROM x0 a JOIN x0 b USING (doc_id, page) WHERE a.provider = 'openai' AND b.provider = 'claude' AND a.t IS NOT NULL AND b.t IS NOT NULL),
+        x2 AS (SELECT DISTINCT pair, q, p FROM x1), {scores_sql("x2", SHARED)},
+        xp AS (SELECT doc_id, page::BIGINT page, l, r, max(score) score, arg_max(method, (score, -o)) AS method FROM x1 JOIN scored USING (pair) WHERE score >= 0.8 GROUP BY 1, 2, 3, 4)""",
     "rev": """rv AS (SELECT *, CASE inclusion_decision_martin WHEN 'keep' THEN 1e0 WHEN 'exclude' THEN 0e0 END martin, CASE inclusion_decision_dominik WHEN 'keep' THEN 1e0 WHEN 'exclude' THEN 0e0 END dominik
         FROM reviewed_candidates WHERE NOT coalesce(exclude_untranslated, false)),
         rev AS (SELECT *, (martin + dominik) / 2 AS mid, CASE WHEN martin + dominik IS NOT NULL THEN least(martin, dominik) END low, CASE WHEN martin + dominik IS NOT NULL THEN greatest(martin, dominik) END high FROM rv)""",
@@ -159,7 +205,7 @@ SQL = {
 
 
 def sql(body: str, *views: str) -> str:
-    needed = {"ids": ["cand", "ids"], "ev": ["st", "cand", "ids", "ev"], "cells": ["st", "cand", "ids", "ev", "cells"], "alloc": ["st", "cand", "ids", "ev", "cells", "parts", "sides", "alloc"]}
+    needed = {"ids": ["cand", "ids"], "ev": ["st", "cand", "ids", "ev"], "cells": ["st", "cand", "ids", "ev", "cells"], "alloc": ["st", "cand", "ids", "ev", "cells", "parts", "sides", "alloc"], "sp": ["st", "sp"], "xp": ["st", "xp"]}
     names: list[str] = []
     for v in views:
         names += [x for x in needed.get(v, [v]) if x not in names]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from attestra.functions import scalars
 from attestra.operators import allocate, assign, evaluate, expectations, flatten, inference, reliability, score, survey, textmatch
-from attestra.plans.bindings import LEXICON, MATCH, PROVIDERS, SIGNALS, assigned_statements, candidates, design, entities, evidence, matched_paragraphs, page_texts, paragraphs, quoted, reviews, sql, statements
+from attestra.plans.bindings import CLEAN, MATCH, PROVIDERS, assigned_statements, candidates, design, entities, evidence, matched_paragraphs, norm_sql, page_texts, paragraph_edges, paragraphs, quoted, reviews, sql, statements
+from attestra.plans.goals import GATED, GOALS, LEXICON, SIGNALS, WHOLE_CODES
 from attestra.tables import materialize, read
 
 QUERIES: dict = {}
@@ -39,8 +40,10 @@ def big(*names: str) -> list:
 # --- allocation ---------------------------------------------------------------------------------------
 
 
-def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def allocation(spark: SparkSession, sf_dir: str, hits: bool = False) -> DataFrame:
     cells = allocate.contributions(evidence(spark, sf_dir))
+    if hits:
+        cells = score.with_hits(cells, LEXICON)
     fanned = allocate.variants(cells, PROVIDERS)
     return fanned.join(candidates(spark, sf_dir).select("candidate_id", "doc_id", "language", "origin_type"), "candidate_id")
 
@@ -153,20 +156,36 @@ def q_retry_merge(spark, d):
 
 
 @query(
-    """SELECT p.record_id, CASE WHEN m.en THEN NULL ELSE p.quote_en END quote_en FROM provider_outputs p JOIN
-    (SELECT doc_id, max(coalesce(lower(trim(language)) = 'en', false)) en FROM corpus_manifest GROUP BY 1) m USING (doc_id)"""
+    """SELECT p.record_id, CASE WHEN m.en THEN NULL ELSE p.quote_en END quote_en FROM provider_outputs p LEFT JOIN
+    (SELECT doc_id, bool_or(split_part(replace(lower(trim(language)), '_', '-'), '-', 1) IN ('en', 'eng', 'english')) en FROM corpus_manifest GROUP BY 1) m USING (doc_id)"""
 )
 def q_null_translation(spark, d):
-    langs = read(spark, d, "corpus_manifest").groupBy("doc_id").agg(F.max(F.when(F.lower(F.trim("language")) == "en", "en")).alias("language"))
-    return flatten.drop_translation(read(spark, d, "provider_outputs").select("record_id", "doc_id", "quote_en").join(langs, "doc_id"), "language").select("record_id", "quote_en")
+    langs = read(spark, d, "corpus_manifest").groupBy("doc_id").agg(F.max(F.when(scalars.names_english("language"), F.col("language"))).alias("language"))
+    return flatten.drop_translation(read(spark, d, "provider_outputs").select("record_id", "doc_id", "quote_en").join(langs, "doc_id", "left"), "language").select("record_id", "quote_en")
 
 
-@query()
+BLANK = r"[ \t\n\x0B\f\r]"
+
+
+@query(
+    r"""WITH RECURSIVE p AS (SELECT doc_id, -1::BIGINT ordinal, '' piece, coalesce(text, '') AS rest FROM documents UNION ALL
+    SELECT doc_id, ordinal + 1, left(rest, n), substr(rest, n + 1) FROM (SELECT *, CASE WHEN length(rest) <= 2000 THEN greatest(length(rest), 1) WHEN regexp_matches(substr(rest, 2, 2000), '[ \t\n\x0B\f\r]')
+      THEN length(regexp_extract(substr(rest, 2, 2000), '(?s)^.*[ \t\n\x0B\f\r]')) ELSE 2000 END n FROM p WHERE rest <> '' OR ordinal = -1))
+    SELECT doc_id, ordinal, piece FROM p WHERE ordinal >= 0""".replace("\\", "\\")
+)
 def q_paginate(spark, d):
-    return flatten.paginate(read(spark, d, "documents"), "doc_id", "text", 2000)
+    return flatten.paginate(read(spark, d, "documents"), "doc_id", "text", 2000).select("doc_id", *big("ordinal"), "piece")
 
 
-@query()
+BARE = r"regexp_replace({c}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', '', 'g')"
+
+
+@query(
+    f""", pg AS (SELECT doc_id, page, string_agg(text, chr(10) || chr(10) ORDER BY text) source FROM reference_paragraphs GROUP BY 1, 2), s AS (SELECT statement_id, source_mode, quote, source, {BARE.format(c="quote")} q, {BARE.format(c="source")} b FROM st LEFT JOIN pg USING (doc_id, page)),
+    k AS (SELECT *, CASE WHEN quote <> '' AND contains(source, quote) THEN 'exact' WHEN q <> '' AND contains(b, q) THEN CASE WHEN contains(substr(b, instr(b, q) + 1), q) THEN 'ambiguous' ELSE 'restored' END WHEN source_mode <> 'text' THEN 'render' ELSE 'unsupported' END quote_status FROM s)
+    SELECT statement_id, quote_status, CASE WHEN quote_status IN ('exact', 'ambiguous') THEN quote END quote_span FROM k""",
+    "st",
+)
 def q_canonical_quotes(spark, d):
     st = statements(spark, d).select("statement_id", "doc_id", "page", "quote", (F.col("source_mode") != "text").alias("rendered"))
     pages = read(spark, d, "reference_paragraphs").groupBy("doc_id", "page").agg(F.concat_ws("\n\n", F.sort_array(F.collect_list("text"))).alias("source"))
@@ -181,7 +200,7 @@ def _hits(text: str, goal: str) -> str:
 
 
 def _signal(goal: str) -> str:
-    return "CASE array_to_string(string_split(code, '.')[1:2], '.') " + " ".join(f"WHEN '{c}' THEN {w[goal]}::DOUBLE" for c, w in SIGNALS.items() if goal in w) + " ELSE 0e0 END"
+    return f"CASE CASE WHEN starts_with(code, '{WHOLE_CODES}') THEN code ELSE array_to_string(string_split(code, '.')[1:2], '.') END " + " ".join(f"WHEN '{c}' THEN {w[goal]}::DOUBLE" for c, w in SIGNALS.items() if goal in w) + " ELSE 0e0 END"
 
 
 ELIGIBLE = """elig AS (SELECT *, string_split(doc_id, '_')[1] entity, CASE odr WHEN 'decision' THEN 1e0 ELSE 5e-1 END odr_weight, mass * CASE odr WHEN 'decision' THEN 1e0 ELSE 5e-1 END * strength weight,
@@ -196,7 +215,6 @@ ENTITY = (
     + ", ".join(f"coalesce(sum(({_hits('txt', g)} + {_signal(g)}) * weight) / nullif(sum(weight), 0), 0e0) raw_{g}" for g in LEXICON)
     + " FROM elig GROUP BY 1, 2)"
 )
-GOALS = list(LEXICON)
 RAW = [f"raw_{g}" for g in GOALS]
 
 
@@ -213,22 +231,27 @@ CALIBRATED = (
     + ", ".join(f"quantile_cont({c}, [0.05, 0.5, 0.95]) {c}_q" for c in [*RAW, "state_raw"])
     + " FROM es WHERE variant = 'ensemble'), c0 AS (SELECT es.*, "
     + ", ".join(f"{_calibrated_sql('raw_' + g)} score_{g}" for g in GOALS)
-    + f", {_calibrated_sql('state_raw')} state_score FROM es, q), c1 AS (SELECT * REPLACE (score_reach * (35e-2 + 65e-2 * state_score) AS score_reach), score_reach score_reach_ungated FROM c0)"
+    + f", {_calibrated_sql('state_raw')} state_score FROM es, q), c1 AS (SELECT * REPLACE (score_{GATED} * (35e-2 + 65e-2 * state_score) AS score_{GATED}), score_{GATED} score_{GATED}_ungated FROM c0)"
 )
 DOMINANT = (
     CALIBRATED
-    + """, dom AS (SELECT *, greatest(score_privacy, score_safety, score_reach) dominant_score, list_reverse_sort([score_privacy, score_safety, score_reach])[2] second_score,
-    CASE WHEN score_privacy >= score_safety AND score_privacy >= score_reach THEN 'privacy' WHEN score_safety >= score_reach THEN 'safety' ELSE 'reach' END dominant FROM c1)"""
+    + f", dom0 AS (SELECT *, list_reverse_sort([{', '.join('score_' + g for g in GOALS)}]) ranked FROM c1), dom AS (SELECT *, ranked[1] dominant_score, ranked[2] second_score, CASE ranked[1] "
+    + " ".join(f"WHEN score_{g} THEN '{g}'" for g in GOALS)
+    + " END dominant FROM dom0)"
 )
 
 
+#: Entities that stand for several, left out of correlations.
+COMPOSITE = ["XE"]
+
+
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.entity_scores(score.eligible(allocation(spark, sf_dir)), LEXICON, SIGNALS)
+    return score.entity_scores(score.eligible(allocation(spark, sf_dir, hits=True)), LEXICON, SIGNALS, kept_prefix=WHOLE_CODES)
 
 
 def _calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the entity table feeds both the thresholds and the scores: written once
-    return score.calibrated(materialize(_entities(spark, sf_dir), "entities"), GOALS, "reach", F.col("variant") == "ensemble")
+    return score.calibrated(materialize(_entities(spark, sf_dir), "entities"), GOALS, GATED, F.col("variant") == "ensemble")
 
 
 @query(", " + ELIGIBLE + " SELECT variant, candidate_id, provider, code, odr, direction, relation, strength::BIGINT strength, entity, odr_weight, round(weight, 6) weight, direction <> 'neutral' is_privacy FROM elig", "alloc")
@@ -243,13 +266,13 @@ def q_entity_scores(spark, d):
 
 
 @query(
-    ", " + CALIBRATED + ", ent AS (SELECT string_split(doc_id, '_')[1] entity, avg(pages) pages FROM (SELECT DISTINCT * FROM corpus_manifest) GROUP BY 1) SELECT variant, entity, round(pages, 6) pages, entity = 'XE' is_composite, "
-    + ", ".join(f"round({c}, 6) {c}" for c in ["state_score", "score_reach_ungated", *[f"score_{g}" for g in GOALS]]) + " FROM c1 LEFT JOIN ent USING (entity)",
+    ", " + CALIBRATED + ", ent AS (SELECT string_split(doc_id, '_')[1] entity, avg(pages) pages FROM (SELECT DISTINCT * FROM corpus_manifest) GROUP BY 1) SELECT variant, entity, round(pages, 6) pages, entity IN ('XE') is_composite, "
+    + ", ".join(f"round({c}, 6) {c}" for c in ["state_score", f"score_{GATED}_ungated", *[f"score_{g}" for g in GOALS]]) + " FROM c1 LEFT JOIN ent USING (entity)",
     "alloc",
 )
 def q_entity_calibrated(spark, d):
-    out = score.with_dimension(_calibrated(spark, d), entities(spark, d).select("entity", "pages"), "entity", ["XE"])
-    return out.select("variant", "entity", *r6("pages"), "is_composite", *r6("state_score", "score_reach_ungated", *[f"score_{g}" for g in GOALS]))
+    out = score.with_dimension(_calibrated(spark, d), entities(spark, d).select("entity", "pages"), "entity", COMPOSITE)
+    return out.select("variant", "entity", *r6("pages"), "is_composite", *r6("state_score", f"score_{GATED}_ungated", *[f"score_{g}" for g in GOALS]))
 
 
 @query(", " + DOMINANT + " SELECT variant, entity, dominant, round(dominant_score, 6) dominant_score, round(second_score, 6) second_score, dominant_score - second_score < 0.1 narrow FROM dom", "alloc")
@@ -412,6 +435,67 @@ def q_matched_gates(spark, d):
     return _gates(m.withColumn("workload", F.try_divide(F.col("workload").cast("double"), F.col("positives"))), "recall_low")
 
 
+#: Score from which a statement counts as close to a paragraph in the queries that screen pages (a match needs MATCH).
+SCREEN = 0.08
+
+
+def _screened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    st, texts, found = paragraph_edges(spark, sf_dir, SCREEN)
+    return st, texts, materialize(found.withColumn("field", F.when(F.col("field_order") == 0, "quote").otherwise("quote_en")), "edges")
+
+
+@query(f"SELECT statement_id, par, round(score, 6) score, method, field FROM sp WHERE score >= {SCREEN}", "sp")
+def q_statement_paragraph(spark, d):
+    """Every statement and paragraph of one page that are close, with score, method and the field that gave it."""
+    return _screened(spark, d)[2].select(F.col("l").alias("statement_id"), F.col("r").alias("par"), *r6("score"), "method", "field")
+
+
+BEST_PARAGRAPH = f", best AS (SELECT statement_id, arg_max(par, (score, -par)) par, max(score) score, arg_max(method, (score, -par)) AS method FROM sp WHERE score >= {SCREEN} GROUP BY 1)"
+
+
+@query(BEST_PARAGRAPH + " SELECT statement_id, par, round(score, 6) score, method FROM best", "sp")
+def q_greedy_paragraph(spark, d):
+    """For every statement its closest paragraph (ties: the first listed); several may share one."""
+    return textmatch.greedy(_screened(spark, d)[2]).select(F.col("l").alias("statement_id"), F.col("r").alias("par"), *r6("score"), "method")
+
+
+@query(f", e AS (SELECT par, max(score) score, min(statement_id) FILTER (score = top) statement_id, count(*) n FROM (SELECT *, max(score) OVER (PARTITION BY par) top FROM sp WHERE score >= {SCREEN}) GROUP BY 1) SELECT p.par, coalesce(n, 0) n, round(coalesce(score, 0e0), 6) best_score, statement_id best_statement FROM par0 p LEFT JOIN e USING (par)", "sp")
+def q_paragraph_best(spark, d):
+    """For every paragraph how many statements are close, the best score and whose it is (ties: the smaller id)."""
+    _, texts, found = _screened(spark, d)
+    place = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("score"), "l"))
+    best = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("r"))).withColumn("i", place).where("i = 1")
+    best = best.select(F.col("r").alias("par"), "n", "score", F.col("l").alias("best_statement"))
+    return texts.select("par").join(best, "par", "left").select("par", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("best_score"), "best_statement")
+
+
+METHODS = {"whole_paragraph_equal": ("raw_equal", "normalized_equal"), "span_containment_matches": ("raw_equal", "normalized_equal", "raw_contains", "normalized_contains", "normalized_container"), "fuzzy_matches": ("fuzzy_token", "fuzzy_character")}
+
+
+@query(
+    BEST_PARAGRAPH + ", r AS (SELECT unnest(CASE qc_status WHEN 'pass' THEN ['all', 'kept'] ELSE ['all'] END) candidates, b.method, p.truth FROM onp LEFT JOIN best b USING (statement_id) LEFT JOIN par0 p USING (par)) "
+    "SELECT candidates, count(*) on_pages, count(method) assigned, count(*) - count(method) unassigned, " + ", ".join(f"count(*) FILTER (truth = '{t}') assigned_{t}" for t in ("positive", "negative", "excluded")) + ", "
+    + ", ".join(f"count(*) FILTER (method IN {m}) {n}" for n, m in METHODS.items()) + " FROM r GROUP BY 1",
+    "sp",
+)
+def q_candidate_summary(spark, d):
+    """Statements on pages of the reference, all of them and those that passed: how many are close to which paragraphs, and by which methods."""
+    st, texts, found = _screened(spark, d)
+    best = textmatch.greedy(found).select(F.col("l").alias("statement_id"), F.col("r").alias("par"), "method").join(texts.select("par", "truth"), "par")
+    rows = st.select("statement_id", F.explode(F.when(F.col("qc_status") == "pass", F.array(F.lit("all"), F.lit("kept"))).otherwise(F.array(F.lit("all")))).alias("candidates")).join(best, "statement_id", "left")
+    return evaluate.candidate_summary(rows, ["candidates"], METHODS)
+
+
+@query(BEST_PARAGRAPH + ", f AS (SELECT p.stratum, p.truth, b.par IS NOT NULL p FROM par0 p LEFT JOIN (SELECT DISTINCT par FROM best) b USING (par)), k AS (SELECT stratum, " + CONFUSION.format(p="p") + f" FROM f WHERE stratum IS NOT NULL GROUP BY ROLLUP (stratum)) SELECT *, {RATES} FROM k", "sp")
+def q_screen_confusion(spark, d):
+    """Confusion by stratum where a paragraph counts as found if it is the closest one of some statement."""
+    st, texts, found = _screened(spark, d)
+    hit = textmatch.greedy(found).select(F.col("r").alias("par")).distinct().withColumn("p", F.lit(True))
+    strata = read(spark, d, "reference_paragraphs").select(F.col("ref_id").alias("par"), "stratum")
+    rows = texts.join(strata, "par").join(hit, "par", "left").select("stratum", "truth", F.coalesce("p", F.lit(False)).alias("p"))
+    return _rated(evaluate.confusion_rollup(rows, "p", "stratum"), "stratum")
+
+
 @query()
 def q_alignment(spark, d):
     """Statements on pages of the reference by the truth of the paragraph they are assigned to, of each provider and of both."""
@@ -436,51 +520,57 @@ RELIABILITY = " UNION ALL ".join(
     "rev",
 )
 def q_reliability_alpha_ac1(spark, d):
-    rows = reviews(spark, d)
-    both = rows.where("inclusion_decision_martin = 'keep' and inclusion_decision_dominik = 'keep'")
-    parts = [reliability.two_raters(rows if m == "inclusion" else both, f"{c}_martin", f"{c}_dominik", "survey_weight").withColumn("measure", F.lit(m)) for m, c in PAIRS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    keep = F.expr("inclusion_decision_martin = 'keep' and inclusion_decision_dominik = 'keep'")
+    pairs = [F.struct(F.lit(m).alias("measure"), F.col(f"{c}_martin").cast("string").alias("l"), F.col(f"{c}_dominik").cast("string").alias("r"), F.lit(m == "inclusion").alias("all")) for m, c in PAIRS.items()]
+    rows = reviews(spark, d).select("survey_weight", keep.alias("both"), F.explode(F.array(*pairs)).alias("p")).where("p.all or both").select("survey_weight", "p.*")
+    out = reliability.two_raters(rows, "l", "r", "survey_weight", by=["measure"])
     return out.select("measure", "n", "missing", "agree", *r6("agreement", "weighted_agreement", "alpha", "ac1"))
 
 
-VALUES = ("martin", "dominik", "mid", "low", "high")
+REVIEWERS = ("martin", "dominik")
+VALUES = (*REVIEWERS, "mid", "low", "high")
 
 
 @query(", l AS (" + " UNION ALL ".join(f"SELECT '{v}' v, {v} x, survey_weight w FROM rev" for v in VALUES) + ") SELECT v measure, round(avg(x), 6) plain, round(sum(x * w) FILTER (x IS NOT NULL AND w IS NOT NULL) / sum(w) FILTER (x IS NOT NULL), 6) weighted FROM l GROUP BY 1", "rev")
 def q_weighted_mean(spark, d):
-    long_ = reviews(spark, d).select(F.explode(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).alias("x"), F.col("survey_weight").alias("w")) for v in VALUES])).alias("s")).select("s.*")
+    long_ = _values(spark, d)
     return long_.groupBy("measure").agg(F.round(F.avg("x"), 6).alias("plain"), F.round(survey.weighted_mean(F.col("x"), F.col("w")), 6).alias("weighted"))
 
 
-STAGE = ", g AS (SELECT sample_stratum stratum, count(*) n, avg(martin) mean, coalesce(var_samp(martin), 25e-2) v FROM rev WHERE martin IS NOT NULL GROUP BY 1), h AS (SELECT stratum, population, n, mean, v FROM des JOIN g USING (stratum))"
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """measure, x, w, sample_stratum: the decision of each reviewer, their midpoint and its bounds."""
+    five = F.explode(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).alias("x"), F.col("survey_weight").alias("w"), F.col("sample_stratum").alias("sample_stratum")) for v in VALUES])).alias("s")
+    return reviews(spark, sf_dir).select(five).select("s.*")
 
 
-@query(STAGE + " SELECT stratum, population, n, round(mean, 6) mean, round(v, 6) variance FROM h", "rev", "des")
+LONG = ", l AS (" + " UNION ALL ".join(f"SELECT '{v}' measure, {v} x, survey_weight w, sample_stratum stratum FROM rev" for v in VALUES) + ")"
+STAGE = LONG + ", g AS (SELECT measure, stratum, count(*) n, avg(x) mean, coalesce(var_samp(x), 25e-2) v FROM l WHERE x IS NOT NULL GROUP BY 1, 2), h AS (SELECT measure, stratum, population, n, mean, v FROM des JOIN g USING (stratum))"
+
+
+@query(STAGE + " SELECT measure, stratum, population, n, round(mean, 6) mean, round(v, 6) variance FROM h", "rev", "des")
 def q_stratum_detail(spark, d):
-    return survey.stratum_detail(reviews(spark, d), "martin", "sample_stratum", design(spark, d)).select("stratum", "population", "n", *r6("mean", "variance"))
+    return survey.stratum_detail(_values(spark, d), "x", "sample_stratum", design(spark, d), by=["measure"]).select("measure", "stratum", "population", "n", *r6("mean", "variance"))
 
 
 @query(
-    STAGE + """, e AS (SELECT sum(population / (SELECT sum(population)::DOUBLE FROM des) * mean) est, sqrt(greatest(0e0, sum((population / (SELECT sum(population)::DOUBLE FROM des)) ** 2 * (1 - n / population::DOUBLE) * v / n))) se FROM h)
-    SELECT round(est, 6) estimate, round(se, 6) standard_error, round(greatest(0e0, est - 1.959963984540054 * se), 6) low, round(least(1e0, est + 1.959963984540054 * se), 6) high FROM e""",
+    STAGE + """, e AS (SELECT measure, sum(population / (SELECT sum(population)::DOUBLE FROM des) * mean) est, sqrt(greatest(0e0, sum((population / (SELECT sum(population)::DOUBLE FROM des)) ** 2 * (1 - n / population::DOUBLE) * v / n))) se FROM h GROUP BY 1)
+    SELECT measure, round(est, 6) estimate, round(se, 6) standard_error, round(greatest(0e0, est - 1.959963984540054 * se), 6) low, round(least(1e0, est + 1.959963984540054 * se), 6) high FROM e""",
     "rev", "des",
 )
 def q_stratified_estimate(spark, d):
-    return survey.stratified(reviews(spark, d), "martin", "sample_stratum", design(spark, d)).select(*r6("estimate", "standard_error", "low", "high"))
+    return survey.stratified(_values(spark, d), "x", "sample_stratum", design(spark, d), by=["measure"]).select("measure", *r6("estimate", "standard_error", "low", "high"))
 
 
 @query(
-    """, g AS (SELECT sample_stratum stratum, count(*) FILTER (martin = 1)::DOUBLE k, count(martin)::DOUBLE n FROM rev GROUP BY 1), z AS (SELECT 1.959963984540054::DOUBLE z)
-    SELECT stratum, k::BIGINT successes, n::BIGINT trials, round((k / nullif(n, 0) + z * z / 2 / nullif(n, 0) - z * sqrt(k / nullif(n, 0) * (1 - k / nullif(n, 0)) / nullif(n, 0) + z * z / 4 / nullif(n, 0) / n)) / (1 + z * z / nullif(n, 0)), 6) low,
+    LONG + """, g AS (SELECT measure reviewer, stratum, count(*) FILTER (x = 1)::DOUBLE k, count(x)::DOUBLE n FROM l WHERE measure IN ('martin', 'dominik') GROUP BY 1, 2), z AS (SELECT 1.959963984540054::DOUBLE z)
+    SELECT reviewer, stratum, k::BIGINT successes, n::BIGINT trials, round((k / nullif(n, 0) + z * z / 2 / nullif(n, 0) - z * sqrt(k / nullif(n, 0) * (1 - k / nullif(n, 0)) / nullif(n, 0) + z * z / 4 / nullif(n, 0) / n)) / (1 + z * z / nullif(n, 0)), 6) low,
     round((k / nullif(n, 0) + z * z / 2 / nullif(n, 0) + z * sqrt(k / nullif(n, 0) * (1 - k / nullif(n, 0)) / nullif(n, 0) + z * z / 4 / nullif(n, 0) / n)) / (1 + z * z / nullif(n, 0)), 6) high FROM g, z""",
     "rev",
 )
 def q_wilson(spark, d):
-    g = reviews(spark, d).groupBy(F.col("sample_stratum").alias("stratum")).agg(F.count_if(F.col("martin") == 1).alias("successes"), F.count("martin").alias("trials"))
+    g = _values(spark, d).where(F.col("measure").isin(*REVIEWERS)).groupBy(F.col("measure").alias("reviewer"), F.col("sample_stratum").alias("stratum")).agg(F.count_if(F.col("x") == 1).alias("successes"), F.count("x").alias("trials"))
     low, high = scalars.wilson(F.col("successes"), F.col("trials"))
-    return g.select("stratum", "successes", "trials", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+    return g.select("reviewer", "stratum", "successes", "trials", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
 @query(
@@ -505,14 +595,15 @@ def q_sample_size(spark, d):
     return spark.createDataFrame([(n, size, round(achieved, 6))], "population long, size long, achieved double")
 
 
-QUEUE = "(inclusion_decision_martin IS DISTINCT FROM inclusion_decision_dominik OR final_code1_martin IS DISTINCT FROM final_code1_dominik OR final_odr_martin IS DISTINCT FROM final_odr_dominik)"
+DOUBLE_CODED = list(PAIRS.values())
 
 
-@query(f"SELECT candidate_id, inclusion_decision_martin IS DISTINCT FROM inclusion_decision_dominik decision_differs FROM reviewed_candidates WHERE {QUEUE}")
+@query("SELECT * FROM (SELECT candidate_id, " + ", ".join(f"{c}_martin IS DISTINCT FROM {c}_dominik {c}_differs" for c in DOUBLE_CODED) + ", concat_ws(';', " + ", ".join(f"CASE WHEN {c}_differs THEN '{c}' END" for c in DOUBLE_CODED) + ") fields FROM reviewed_candidates) WHERE fields <> ''")
 def q_adjudication_queue(spark, d):
-    differs = lambda c: ~F.col(f"{c}_martin").eqNullSafe(F.col(f"{c}_dominik"))
-    rows = read(spark, d, "reviewed_candidates").where(differs("inclusion_decision") | differs("final_code1") | differs("final_odr"))
-    return rows.select("candidate_id", differs("inclusion_decision").alias("decision_differs"))
+    """Candidates on which the reviewers differ in any of the double-coded fields, and in which."""
+    rows = read(spark, d, "reviewed_candidates").select("candidate_id", *[(~F.col(f"{c}_martin").eqNullSafe(F.col(f"{c}_dominik"))).alias(f"{c}_differs") for c in DOUBLE_CODED])
+    fields = F.concat_ws(";", *[F.when(F.col(f"{c}_differs"), c) for c in DOUBLE_CODED])
+    return rows.withColumn("fields", fields).where("fields <> ''")
 
 
 @query('SELECT inclusion_decision_martin AS "old", inclusion_decision_dominik AS "new", count(*) n FROM reviewed_candidates GROUP BY 1, 2')
@@ -523,24 +614,29 @@ def q_transition_counts(spark, d):
 
 # --- inference ----------------------------------------------------------------------------------------
 
-CONDITIONS = ("pages", "bytes", "included")
+CONDITIONS = ("pages", "bytes", "included", "retail")
+MEASURES = {"vocabulary": "family_share", "posture": "posture"}
+ENT = "ent AS (SELECT string_split(doc_id, '_')[1] entity, avg(pages) pages, avg(bytes) bytes, avg(included::DOUBLE) included, avg((scope = 'retail_or_general')::DOUBLE) retail FROM (SELECT DISTINCT * FROM corpus_manifest) GROUP BY 1)"
 
 
 @query(
-    ", " + ENTITY + ", ent AS (SELECT string_split(doc_id, '_')[1] entity, avg(pages) pages, avg(bytes) bytes, avg(included::DOUBLE) included FROM (SELECT DISTINCT * FROM corpus_manifest) GROUP BY 1), l AS ("
-    + " UNION ALL ".join(f"SELECT variant, '{c}' AS condition, posture x, {c} y FROM es LEFT JOIN ent USING (entity)" for c in CONDITIONS)
-    + """) SELECT variant, condition, count(*) n, round(CASE WHEN var_pop(x) > 1e-30 AND var_pop(y) > 1e-30 THEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END, 6) r FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2""",
+    ", " + ENTITY + ", " + ENT + ", l AS ("
+    + " UNION ALL ".join(f"SELECT variant, '{m}' measure, '{c}' AS condition, {x} x, {c} y FROM es LEFT JOIN ent USING (entity) WHERE entity NOT IN ('XE')" for m, x in MEASURES.items() for c in CONDITIONS)
+    + """ UNION ALL SELECT variant, 'relation', 'vocabulary', posture, family_share FROM es WHERE entity NOT IN ('XE')) SELECT variant, measure, condition, count(*) n, round(CASE WHEN var_pop(x) > 1e-30 AND var_pop(y) > 1e-30 THEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END, 6) r FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3""",
     "alloc",
 )
 def q_macro_corr(spark, d):
     rows = _conditions(spark, d)
-    return rows.where("x is not null and y is not null").groupBy("variant", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(inference.correlation("x", "y"), 6).alias("r"))
+    return rows.where("x is not null and y is not null").groupBy("variant", "measure", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(inference.correlation("x", "y"), 6).alias("r"))
 
 
 def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _entities(spark, sf_dir).select("variant", "entity", "posture").join(entities(spark, sf_dir), "entity", "left")
-    long_ = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.col(c).alias("y")) for c in CONDITIONS])).alias("s")
-    return both.select("variant", "entity", F.col("posture").alias("x"), long_).select("variant", "entity", "x", "s.*")
+    """variant, entity, measure, x, condition, y: each measure against each condition, and one measure against the other; composites left out."""
+    single = _entities(spark, sf_dir).where(~F.col("entity").isin(*COMPOSITE)).select("variant", "entity", *MEASURES.values())
+    both = single.join(entities(spark, sf_dir), "entity", "left")
+    test = lambda m, c, x, y: F.struct(F.lit(m).alias("measure"), F.lit(c).alias("condition"), F.col(x).alias("x"), F.col(y).alias("y"))
+    grid = [test(m, c, x, c) for m, x in MEASURES.items() for c in CONDITIONS] + [test("relation", "vocabulary", "posture", "family_share")]
+    return both.select("variant", "entity", F.explode(F.array(*grid)).alias("s")).select("variant", "entity", "s.*")
 
 
 IDX = "(('0x' || substr(md5('b1|' || draw::VARCHAR || '|' || slot::VARCHAR), 1, 12))::BIGINT % k)"
@@ -548,7 +644,7 @@ IDX = "(('0x' || substr(md5('b1|' || draw::VARCHAR || '|' || slot::VARCHAR), 1,
 
 @query(
     """, t AS (SELECT doc_id, count(*) FILTER (truth = 'positive' AND found_any) tp, count(*) FILTER (truth = 'negative' AND found_any) fp, count(*) FILTER (truth = 'positive' AND NOT found_any) fn FROM par WHERE stratum = 'probability' GROUP BY 1),
-    n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 i, count(*) OVER () k FROM t), d AS (SELECT draw, slot, k FROM range(200) a(draw), (SELECT i slot, k FROM n)),
+    n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 i, count(*) OVER () k FROM t), d AS (SELECT draw, slot, k FROM range(2000) a(draw), (SELECT i slot, k FROM n)),
     s AS (SELECT draw, sum(tp) tp, sum(fp) fp, sum(fn) fn FROM (SELECT draw, """ + IDX + """ i FROM d) JOIN n USING (i) GROUP BY 1),
     m AS (SELECT tp / nullif(tp + fp, 0)::DOUBLE p, tp / nullif(tp + fn, 0)::DOUBLE r, coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0) f FROM s)
     SELECT round(quantile_cont(p, 0.025), 6) precision_low, round(quantile_cont(p, 0.975), 6) precision_high, round(quantile_cont(r, 0.025), 6) recall_low, round(quantile_cont(r, 0.975), 6) recall_high,
@@ -557,7 +653,7 @@ IDX = "(('0x' || substr(md5('b1|' || draw::VARCHAR || '|' || slot::VARCHAR), 1,
 )
 def q_bootstrap_confusion(spark, d):
     totals = evaluate.cluster_totals(paragraphs(spark, d).where("stratum = 'probability'"), "found_any", "doc_id")
-    out = inference.bootstrap_confusion(materialize(totals, "totals"), "doc_id", 200, "b1")
+    out = inference.bootstrap_confusion(materialize(totals, "totals"), "doc_id", 2000, "b1")
     return out.select(*r6(*out.columns))
 
 
@@ -576,40 +672,38 @@ def q_bootstrap_poisson(spark, d):
 
 
 @query(
-    ", " + ENTITY + """, ent AS (SELECT string_split(doc_id, '_')[1] entity, avg(pages) pages FROM (SELECT DISTINCT * FROM corpus_manifest) GROUP BY 1), t AS (SELECT entity k, posture x, pages y FROM es JOIN ent USING (entity) WHERE variant = 'ensemble' AND posture IS NOT NULL AND pages IS NOT NULL),
-    n AS (SELECT *, row_number() OVER (ORDER BY k) i FROM t), s AS (SELECT draw, k, row_number() OVER (PARTITION BY draw ORDER BY md5('p1|' || draw::VARCHAR || '|' || k), k) i FROM range(500) a(draw), t),
+    ", " + ENTITY + """, ent AS (SELECT string_split(doc_id, '_')[1] entity, avg(pages) pages FROM (SELECT DISTINCT * FROM corpus_manifest) GROUP BY 1), t AS (SELECT entity k, posture x, pages y FROM es JOIN ent USING (entity) WHERE entity NOT IN ('XE') AND variant = 'ensemble' AND posture IS NOT NULL AND pages IS NOT NULL),
+    n AS (SELECT *, row_number() OVER (ORDER BY k) i FROM t), s AS (SELECT draw, k, row_number() OVER (PARTITION BY draw ORDER BY md5('p1|' || draw::VARCHAR || '|' || k), k) i FROM range(10000) a(draw), t),
     e AS (SELECT draw, corr(n.x, t.y) r FROM s JOIN n ON s.i = n.i JOIN t ON s.k = t.k GROUP BY 1), o AS (SELECT corr(x, y) r0, count(*) n FROM t)
-    SELECT round(r0, 6) r, n, round((count(*) FILTER (abs(e.r) >= abs(r0) - 1e-12) + 1) / 501e0, 6) p FROM o, e GROUP BY r0, n""",
+    SELECT round(r0, 6) r, n, round((count(*) FILTER (abs(e.r) >= abs(r0) - 1e-12) + 1) / 10001e0, 6) p FROM o, e GROUP BY r0, n""",
     "alloc",
 )
 def q_permutation_p(spark, d):
-    rows = materialize(_conditions(spark, d).where("variant = 'ensemble' and condition = 'pages'"), "tests")
-    return inference.permutation_test(rows, "entity", "x", "y", 500, "p1").select(*r6("r"), "n", *r6("p"))
-
-
-@query()
-def q_permutation_full(spark, d):
-    rows = materialize(_conditions(spark, d).where("variant = 'ensemble' and condition = 'pages'"), "tests")
+    rows = materialize(_conditions(spark, d).where("variant = 'ensemble' and measure = 'posture' and condition = 'pages'"), "tests")
     return inference.permutation_test(rows, "entity", "x", "y", 10_000, "p1").select(*r6("r"), "n", *r6("p"))
 
 
 @query(
-    """, g AS (SELECT split_part(sample_stratum, '|', 2) origin, split_part(sample_stratum, '|', 1) AS language, round(1 - avg(martin), 6) p FROM rev WHERE martin IS NOT NULL GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY p, language) i, count(*) OVER (PARTITION BY origin) m FROM g)
-    SELECT origin, language, p, round(max(least(1e0, (m - i + 1) * p)) OVER (PARTITION BY origin ORDER BY i), 6) p_holm FROM r""",
+    LONG + """, g AS (SELECT measure reviewer, split_part(stratum, '|', 2) origin, split_part(stratum, '|', 1) AS language, round(1 - avg(x), 6) p FROM l WHERE x IS NOT NULL AND measure IN ('martin', 'dominik') GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY reviewer, origin ORDER BY p, language) i, count(*) OVER (PARTITION BY reviewer, origin) m FROM g)
+    SELECT reviewer, origin, language, p, round(max(least(1e0, (m - i + 1) * p)) OVER (PARTITION BY reviewer, origin ORDER BY i), 6) p_holm FROM r""",
     "rev",
 )
 def q_holm(spark, d):
     parts = F.split("sample_stratum", r"\|")
-    g = reviews(spark, d).where("martin is not null").groupBy(parts[1].alias("origin"), parts[0].alias("language")).agg(F.round(1 - F.avg("martin"), 6).alias("p"))
-    return inference.holm(g, ["origin"], "p", ["language"]).select("origin", "language", "p", *r6("p_holm"))
+    rows = _values(spark, d).where(F.col("measure").isin(*REVIEWERS) & F.col("x").isNotNull())
+    g = rows.groupBy(F.col("measure").alias("reviewer"), parts[1].alias("origin"), parts[0].alias("language")).agg(F.round(1 - F.avg("x"), 6).alias("p"))
+    return inference.holm(g, ["reviewer", "origin"], "p", ["language"]).select("reviewer", "origin", "language", "p", *r6("p_holm"))
 
 
 @query()
 def q_exact_inference(spark, d):
-    rows = _conditions(spark, d).withColumn("seed", F.concat_ws("|", "variant", "condition"))
-    out = inference.exact_inference(rows, ["variant", "condition"], "x", "y", "seed", 10_000)
-    return inference.holm(out, ["variant"], "p", ["condition"])
+    """Every test of the grid; the correction is over the tests of the ensemble's measures against conditions, which are one family."""
+    rows = _conditions(spark, d).withColumn("seed", F.concat_ws("|", "variant", "measure", "condition"))
+    out = materialize(inference.exact_inference(rows, ["variant", "measure", "condition"], "x", "y", "seed", 10_000), "tests")
+    family = (F.col("variant") == "ensemble") & (F.col("measure") != "relation")
+    corrected = inference.holm(out.where(family), ["variant"], "p", ["measure", "condition"])
+    return corrected.unionByName(out.where(~family), allowMissingColumns=True)
 
 
 @query()
@@ -638,9 +732,6 @@ def _edges(spark: SparkSession, sf_dir: str, threshold: float, fuzzy: bool, only
     return a, b, textmatch.edges(a, b, ["doc_id", "page"], "statement_id", "statement_id", ["quote", "quote_en"], ["quote", "quote_en"], threshold, fuzzy, only=only)
 
 
-CLEAN = "CASE WHEN lower(trim({c})) IN ('none', 'null', 'n/a', '-', '') THEN NULL ELSE {c} END"
-
-
 @query(
     f""", s AS (SELECT statement_id, provider, doc_id, page, unnest([{CLEAN.format(c="quote")}, {CLEAN.format(c="quote_en")}]) t FROM st), p AS (SELECT a.statement_id l, b.statement_id r,
     min(CASE WHEN trim(a.t, ' ') = trim(b.t, ' ') THEN 0 ELSE 1 END) k FROM s a JOIN s b USING (doc_id, page) WHERE a.provider = 'openai' AND b.provider = 'claude' AND contains(trim(b.t, ' '), trim(a.t, ' ')) GROUP BY 1, 2)
@@ -651,17 +742,24 @@ def q_span_exact(spark, d):
     return _edges(spark, d, 1.0, False, ["raw_equal", "raw_contains"])[2].select("l", "r", "score")
 
 
-@query()
+@query(
+    f""", s AS (SELECT statement_id, provider, doc_id, page, t, trim(t, ' ') tr, {norm_sql("t")} tn, f FROM (SELECT *, unnest([{CLEAN.format(c="quote")}, {CLEAN.format(c="quote_en")}]) t, unnest([0, 1]) f FROM st) WHERE t IS NOT NULL),
+    p AS (SELECT a.doc_id, a.page, a.statement_id l, b.statement_id r, a.f * 2 + b.f o, CASE WHEN a.tr = '' OR b.tr = '' THEN NULL WHEN a.tr = b.tr THEN 'raw_equal' WHEN contains(b.tr, a.tr) THEN 'raw_contains' WHEN least(length(a.tn), length(b.tn)) < 12 THEN NULL
+      WHEN a.tn = b.tn THEN 'normalized_equal' WHEN contains(b.tn, a.tn) THEN 'normalized_contains' WHEN contains(a.tn, b.tn) THEN 'normalized_container' END m
+      FROM s a JOIN s b USING (doc_id, page) WHERE a.provider = 'openai' AND b.provider = 'claude')
+    SELECT doc_id, page::BIGINT page, l, r, 1e0 score, arg_min(m, o) AS method FROM p WHERE m IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    "st",
+)
 def q_span_normalized(spark, d):
-    return _edges(spark, d, 1.0, False)[2].select("doc_id", "page", "l", "r", "score", "method")
+    return _edges(spark, d, 1.0, False)[2].select("doc_id", *big("page"), "l", "r", "score", "method")
 
 
-@query()
+@query("SELECT doc_id, page, l, r, round(score, 6) score, method FROM xp", "xp")
 def q_span_fuzzy(spark, d):
-    return _edges(spark, d, 0.8, True)[2].select("doc_id", "page", "l", "r", *r6("score"), "method")
+    return _edges(spark, d, 0.8, True)[2].select("doc_id", *big("page"), "l", "r", *r6("score"), "method")
 
 
-@query()
+@query("SELECT l, min(r) FILTER (score = top) r, round(max(score), 6) score, arg_min(method, r) FILTER (score = top) AS method FROM (SELECT *, max(score) OVER (PARTITION BY l) top FROM xp) GROUP BY 1", "xp")
 def q_greedy_match(spark, d):
     return textmatch.greedy(_edges(spark, d, 0.8, True)[2]).select("l", "r", *r6("score"), "method")
 
@@ -729,17 +827,19 @@ def q_expectations(spark, d):
 
 
 @query(
-    """, a AS (SELECT candidate_id, list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(openai_codes, ''), ';'), lambda x: trim(x)), lambda x: x <> ''))) m FROM cand WHERE openai_codes <> ''),
-    b AS (SELECT candidate_id, list_sort(list(DISTINCT s.code1)) e FROM ids JOIN st s USING (statement_id) WHERE ids.provider = 'openai' AND s.code1 IS NOT NULL GROUP BY 1)
-    SELECT candidate_id FROM a JOIN b USING (candidate_id) WHERE m <> e""",
+    """, c AS (SELECT candidate_id, 'openai' provider, openai_codes codes FROM cand UNION ALL SELECT candidate_id, 'claude', claude_codes FROM cand),
+    a AS (SELECT candidate_id, provider, list_sort(list_distinct(list_filter(list_transform(string_split(codes, ';'), lambda x: trim(x)), lambda x: x <> ''))) m FROM c WHERE codes <> ''),
+    b AS (SELECT candidate_id, ids.provider, list_sort(list(DISTINCT s.code1)) e FROM ids JOIN st s USING (statement_id) WHERE s.code1 IS NOT NULL GROUP BY 1, 2)
+    SELECT candidate_id, provider FROM a JOIN b USING (candidate_id, provider) WHERE m <> e""",
     "st", "ids",
 )
 def q_code_set_mismatch(spark, d):
     cand = candidates(spark, d)
-    listed = cand.where("openai_codes <> ''").select("candidate_id", F.array_sort(F.array_distinct(scalars.split_ids("openai_codes"))).alias("m"))
-    ids = flatten.candidate_statements(cand, {"openai": "openai_statement_ids"})
-    attached = ids.join(statements(spark, d).select("statement_id", "code1"), "statement_id").groupBy("candidate_id").agg(F.array_sort(F.collect_set("code1")).alias("e")).where(F.size("e") > 0)
-    return listed.join(attached, "candidate_id").where("m <> e").select("candidate_id")
+    sides = F.explode(F.array(*[F.struct(F.lit(p).alias("provider"), F.col(f"{p}_codes").alias("codes")) for p in PROVIDERS])).alias("s")
+    listed = cand.select("candidate_id", sides).where("s.codes <> ''").select("candidate_id", "s.provider", F.array_sort(F.array_distinct(scalars.split_ids("s.codes"))).alias("m"))
+    ids = flatten.candidate_statements(cand, {p: f"{p}_statement_ids" for p in PROVIDERS})
+    attached = ids.join(statements(spark, d).select("statement_id", "code1"), "statement_id").groupBy("candidate_id", "provider").agg(F.array_sort(F.collect_set("code1")).alias("e")).where(F.size("e") > 0)
+    return listed.join(attached, ["candidate_id", "provider"]).where("m <> e").select("candidate_id", "provider")
 
 
 @query(
@@ -753,10 +853,9 @@ def q_manifest_diff(spark, d):
     return expectations.manifest_diff(old, new, "doc_id", "h")
 
 
-@query("SELECT statement_id, sha256(regexp_replace(coalesce(quote, ''), '\\r\\n?', chr(10), 'g')) digest, ('0x' || substr(sha256(statement_id), 1, 15))::BIGINT seed FROM st", "st")
+@query("SELECT statement_id, sha256(regexp_replace(coalesce(quote, ''), '\\r\\n?', chr(10), 'g')) digest, ('0x' || substr(sha256(statement_id), 1, 16))::UBIGINT::VARCHAR seed FROM st", "st")
 def q_text_digest(spark, d):
-    seed = F.conv(F.substring(F.sha2("statement_id", 256), 1, 15), 16, 10).cast("long")
-    return statements(spark, d).select("statement_id", scalars.text_digest(F.coalesce("quote", F.lit(""))).alias("digest"), seed.alias("seed"))
+    return statements(spark, d).select("statement_id", scalars.text_digest(F.coalesce("quote", F.lit(""))).alias("digest"), scalars.seed_of("statement_id").cast("string").alias("seed"))
 
 
 @query("SELECT qc_status, provider, count(*) n, count(DISTINCT doc_id) documents, sum(length(coalesce(quote, '')))::BIGINT characters FROM provider_outputs GROUP BY 1, 2")
@@ -770,12 +869,14 @@ def q_usage_rollup(spark, d):
 
 
 def queries() -> dict:
+    from attestra.plans import checks  # noqa: F401  registers its queries
     from attestra.streaming import ingest
 
     return QUERIES | {"q_events_hourly": partial(ingest.hourly_batch)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from attestra.plans import checks  # noqa: F401  registers its queries
     from attestra.streaming import ingest
 
     return ORACLES | {"q_events_hourly": ingest.HOURLY_SQL}

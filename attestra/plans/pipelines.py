@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.plans import catalogue
 from attestra.sources import writers
-from attestra.tables import local_path, materialize
+from attestra.tables import discard, materialize, write_bytes
 
 # Results of each analysis: name of the table and the query it comes from.
 ENSEMBLE = {
@@ -19,7 +18,7 @@ ENSEMBLE = {
 }
 EVALUATION = {
     "confusion": "q_matched_confusion", "confusion_by_stratum": "q_matched_confusion_by_stratum", "confusion_by_page": "q_matched_confusion_page", "bootstrap": "q_matched_bootstrap", "gates": "q_matched_gates",
-    "alignment": "q_alignment", "assignments": "q_one_to_one", "overlap": "q_cross_overlap", "fidelity": "q_span_fidelity_all", "coverage": "q_matched_coverage",
+    "alignment": "q_alignment", "candidates": "q_candidate_summary", "paragraphs": "q_paragraph_best", "assignments": "q_one_to_one", "overlap": "q_cross_overlap", "fidelity": "q_span_fidelity_all", "coverage": "q_matched_coverage",
 }
 AUDIT = {
     "weighted_means": "q_weighted_mean", "strata": "q_stratum_detail", "estimate": "q_stratified_estimate", "reliability": "q_reliability_alpha_ac1", "intervals": "q_wilson",
@@ -44,9 +43,10 @@ def export(tables: dict[str, DataFrame], out: str, parameters: dict | None = Non
         digest = writers.row_set_digest(kept).first()
         manifest["outputs"][name] = {"columns": kept.columns, "rows": digest.n, "digest": digest.digest}
         writers.write_csv(kept, f"{out}/{name}", kept.columns, digits=12)
-    os.makedirs(local_path(out), exist_ok=True)
-    with open(os.path.join(local_path(out), "manifest.json"), "w", encoding="utf-8", newline="\n") as f:
-        json.dump(manifest, f, indent=1, sort_keys=True)
+        discard(kept)
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        write_bytes(spark, f"{out.rstrip('/')}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True).encode())
     return manifest
 
 

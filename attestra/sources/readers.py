@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestra.sources import sheets
+
 # Texts a default CSV reader takes for missing.
 MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "#N/A", "n/a", "-nan", "-NaN", "<NA>", "#NA", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN", "#N/A N/A")
 
@@ -44,22 +49,35 @@ def read_csv_missing(spark: SparkSession, path: str, schema, multiline: bool = T
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str, header: int, schema) -> DataFrame:
-    """One sheet through pandas on the driver, for small reference tables; needs openpyxl."""
-    import pandas as pd
+    """One sheet of a workbook: the columns of ``schema`` by their names in row ``header`` (from 0), empty cells null.
+
+    The workbook is unpacked by the task that reads it. Cells hold what is stored, formulas their last value; what can't
+    be cast raises; a missing sheet or column raises.
+    """
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = list(sheets.cells(content, sheet))
+                if len(rows) <= header:
+                    continue
+                place = {name: at for at, name in rows[header].items()}
+                if missing := [f.name for f in fields if f.name not in place]:
+                    raise ValueError(f"no columns {missing} in sheet {sheet}")
+                body = [r for r in rows[header + 1 :] if r]
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(place[f.name]) for r in body], pa.string()) for f in fields], names=[f.name for f in fields])
 
-    try:
-        frame = pd.read_excel(path, sheet_name=sheet, header=header)
-    except ImportError as e:
-        raise RuntimeError("reading Excel files needs openpyxl; convert the sheet to parquet instead") from e
-    names = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).names
-    return spark.createDataFrame(frame[names].astype(object).where(frame[names].notna(), None), schema)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    return _typed(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, text), schema)
 
 
 def read_tree(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> DataFrame:
     """path (relative), length, content of all files under ``root`` but those with an excluded directory in their path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    relative = F.regexp_replace("path", f"^file:/*{base.lstrip('/')}/", "")
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:/*|^/+"
+    base = re.sub(scheme, "", root.rstrip("/"))
+    relative = F.substring(F.regexp_replace("path", scheme, ""), len(base) + 2, 1 << 20)
     out = files.select(relative.alias("path"), "length", "content")
     for name in excluded:
         out = out.where(~F.array_contains(F.split("path", "/"), name))

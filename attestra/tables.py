@@ -38,15 +38,31 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     ends, or by :func:`discard`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/attestra-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    fs, where = _file_system(spark, path)
-    fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.attestra_path = path
     return out
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """Path of a new folder in the shared folder; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/attestra-{label}-{uuid.uuid4().hex}"
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, on whatever file system the path names."""
+    fs, where = _file_system(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of :func:`materialize` that nothing reads any more."""
     for t in tables:

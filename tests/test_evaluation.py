@@ -9,7 +9,7 @@ from attestra.plans import catalogue, pipelines
 from attestra.plans.bindings import matched_paragraphs
 
 QUERIES = catalogue.queries()
-STATEMENTS = "record_id long, statement_id string, provider string, unit_id string, doc_id string, page int, quote string, quote_en string, code1 string, odr string, privacy_direction string, privacy_relation string, strength int, source_mode string, received_at timestamp_ntz"
+STATEMENTS = "record_id long, statement_id string, provider string, unit_id string, doc_id string, page int, quote string, quote_en string, code1 string, odr string, privacy_direction string, privacy_relation string, strength int, source_mode string, received_at timestamp_ntz, qc_status string"
 REFERENCE = "ref_id long, gold_id string, paragraph_id string, doc_id string, page int, text string, stratum string, reference_truth string, reference_code string"
 DOCUMENTS = "doc_id long, text string, manifest_doc_id string, page int"
 
@@ -19,7 +19,7 @@ def tables(spark, tmp_path):
     """Writes statements (provider, doc, page, quote, quote_en, code, mode), paragraphs (doc, page, text, stratum, truth, code) and documents (doc, page, text)."""
 
     def write(statements, reference=(), documents=()):
-        rows = [(i, f"{p}:{i}", p, "u", d, n, q, e, c, None, None, None, None, m, datetime(2025, 1, 1)) for i, (p, d, n, q, e, c, m) in enumerate(statements)]
+        rows = [(i, f"{p}:{i}", p, "u", d, n, q, e, c, None, None, None, None, m, datetime(2025, 1, 1), "pass" if i % 2 else "fail") for i, (p, d, n, q, e, c, m) in enumerate(statements)]
         refs = [(i, f"{d}-{n}", f"P{i}", d, n, t, s, k, c) for i, (d, n, t, s, k, c) in enumerate(reference)]
         docs = [(i, t, d, n) for i, (d, n, t) in enumerate(documents)]
         for name, data, schema in (("provider_outputs", rows, STATEMENTS), ("reference_paragraphs", refs, REFERENCE), ("documents", docs, DOCUMENTS)):
@@ -81,12 +81,12 @@ def test_gates_use_the_lower_bound_and_the_matched_workload(spark, tables):
 
 def test_draws_are_those_of_the_method(spark, small, monkeypatch):
     asked = {}
-    monkeypatch.setattr(catalogue, "_conditions", lambda *a: spark.createDataFrame([("ensemble", "pages", "e", 1.0, 2.0)], "variant string, condition string, entity string, x double, y double"))
+    monkeypatch.setattr(catalogue, "_conditions", lambda *a: spark.createDataFrame([("ensemble", "posture", "pages", "e", 1.0, 2.0)], "variant string, measure string, condition string, entity string, x double, y double"))
     monkeypatch.setattr(catalogue, "_entities", lambda *a: spark.createDataFrame([("ensemble", "e", 1.0)], "variant string, entity string, posture double"))
     for name, at in (("exact_inference", 5), ("cluster_bootstrap", 3), ("permutation_test", 4)):
         real = getattr(catalogue.inference, name)
         monkeypatch.setattr(catalogue.inference, name, lambda *a, name=name, at=at, real=real: (asked.__setitem__(name, a[at]), real(*a))[1])
-    for q in ("q_exact_inference", "q_cluster_bootstrap", "q_permutation_full"):
+    for q in ("q_exact_inference", "q_cluster_bootstrap", "q_permutation_p"):
         QUERIES[q](spark, small)
     assert asked == {"exact_inference": 10_000, "cluster_bootstrap": 2000, "permutation_test": 10_000}
 
@@ -97,17 +97,33 @@ def test_every_statement_gets_a_quote_status(spark, tables):
     assert got == {"openai:0": "exact", "openai:1": "unsupported", "claude:2": "render", "claude:3": "unsupported"}
 
 
-def test_prototypes_are_bundled_again_three_times(monkeypatch):
-    from attestra.llm import languages
-
-    made, real = [], languages._bundle
-    monkeypatch.setattr(languages, "_bundle", lambda counts: made.append(1) or real(counts))
-    languages.train([("en", "The bank keeps the ledger of all payments.")])
-    assert len(made) == 1 + 3
-
-
 def test_alignment_counts_statements_by_the_truth_they_meet(spark, tables):
     said = [("openai", "d", 1, t, None, "A", "text") for t in [*TEXTS, "a statement no paragraph holds in any form"]] + [("claude", "d", 1, TEXTS[0], None, "A", "text"), ("claude", "off", 1, TEXTS[0], None, "A", "text")]
     got = {r.who: tuple(r)[1:] for r in QUERIES["q_alignment"](spark, tables(said, reference())).collect()}
     assert got == {"openai": (2, 1, 1, 1, 0.5), "claude": (1, 0, 0, 0, 1.0), "any": (3, 1, 1, 1, 0.6)}
     assert pipelines.EVALUATION["alignment"] == "q_alignment"
+
+
+def test_screening_of_pages(spark, tables):
+    near = "Offline payments keep the buyer anonymous towards every shop and bank."
+    said = [
+        ("openai", "d", 1, TEXTS[0], None, "A", "text"), ("claude", "d", 1, near, None, "A", "text"), ("openai", "d", 1, "zz", TEXTS[1][:40], "A", "text"),
+        ("claude", "d", 1, "completely unrelated words without any shared run", None, "A", "text"), ("openai", "off", 1, TEXTS[0], None, "A", "text"),
+    ]
+    where = tables(said, [*reference(), ("d", 1, TEXTS[0], "stress_long", "negative", None)])
+    pairs = {(r.statement_id, r.par): (r.method, r.field) for r in QUERIES["q_statement_paragraph"](spark, where).collect()}
+    assert pairs == {("openai:0", 0): ("raw_equal", "quote"), ("claude:1", 0): ("fuzzy_token", "quote"), ("openai:2", 1): ("raw_contains", "quote_en")}
+    assert {(r.par, r.n, r.best_score, r.best_statement) for r in QUERIES["q_paragraph_best"](spark, where).collect()} == {(0, 2, 1.0, "openai:0"), (1, 1, 1.0, "openai:2"), (2, 0, 0.0, None), (3, 0, 0.0, None)}
+    assert {(r.statement_id, r.par) for r in QUERIES["q_greedy_paragraph"](spark, where).collect()} == set(pairs)
+    got = {r.candidates: r.asDict() for r in QUERIES["q_candidate_summary"](spark, where).collect()}
+    assert got["all"] == {"candidates": "all", "on_pages": 4, "assigned": 3, "unassigned": 1, "assigned_positive": 3, "assigned_negative": 0, "assigned_excluded": 0, "whole_paragraph_equal": 1, "span_containment_matches": 2, "fuzzy_matches": 1}
+    assert (got["kept"]["on_pages"], got["kept"]["assigned"]) == (2, 1)  # those with an odd number passed
+    rows = {r.stratum: (r.tp, r.fp, r.fn, r.tn) for r in QUERIES["q_screen_confusion"](spark, where).collect()}
+    assert rows == {"probability": (2, 0, 0, 1), None: (2, 0, 0, 1)}
+
+
+def test_composites_stay_out_of_the_grid_and_the_correction_has_one_family(spark, small):
+    rows = QUERIES["q_exact_inference"](spark, small).collect()
+    assert {(r.variant, r.measure, r.condition) for r in rows if r.p_holm is not None} <= {("ensemble", m, c) for m in catalogue.MEASURES for c in catalogue.CONDITIONS}
+    assert {(r.measure, r.condition) for r in rows} == {(m, c) for m in catalogue.MEASURES for c in catalogue.CONDITIONS} | {("relation", "vocabulary")}
+    assert catalogue._conditions(spark, small).where("entity = 'XE'").count() == 0

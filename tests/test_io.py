@@ -1,8 +1,10 @@
 import gzip
 import hashlib
 
+import pytest
+
 from attestra.operators import expectations
-from attestra.sources import readers, writers
+from attestra.sources import readers, sheets, writers
 from attestra.streaming import ingest
 
 
@@ -45,6 +47,22 @@ def test_writers_and_manifests(spark, tmp_path):
     assert expectations.manifest_diff(back, digests, "path", "digest").count() == 0
 
 
+def test_excel_sheets(spark, tmp_path):
+    rows = [["ab", 1.5, True, None], [None, 2, False, "x < y & z"], ["", None, None, " padded "]]
+    (tmp_path / "b.xlsx").write_bytes(sheets.workbook("Data & more", ["k", "n", "flag", "t"], rows, above=1))
+    schema = "t string, n double, k string, flag boolean"
+    got = [tuple(r) for r in readers.read_excel(spark, str(tmp_path / "b.xlsx"), "Data & more", 1, schema).collect()]
+    assert got == [(None, 1.5, "ab", True), ("x < y & z", 2.0, None, False), (" padded ", None, None, None)]
+    content = (tmp_path / "b.xlsx").read_bytes()
+    assert list(sheets.cells(content, "Data & more"))[0] == {}
+    (tmp_path / "e.xlsx").write_bytes(sheets.workbook("s", ["k"], []))
+    assert readers.read_excel(spark, str(tmp_path / "e.xlsx"), "s", 0, "k string").count() == 0
+    assert [sheets._column(c) for c in ("A1", "Z9", "AA10", "AB2")] == [0, 25, 26, 27] and [sheets._letters(c) for c in (0, 25, 26, 27)] == ["A", "Z", "AA", "AB"]
+    for sheet, wanted in (("other", "k string"), ("s", "missing string")):
+        with pytest.raises(Exception):
+            readers.read_excel(spark, str(tmp_path / "e.xlsx"), sheet, 0, wanted).collect()
+
+
 def test_row_set_digest_ignores_order(spark):
     df = spark.createDataFrame([(i, str(i)) for i in range(50)], "a int, b string")
     assert writers.row_set_digest(df).collect() == writers.row_set_digest(df.repartition(3).orderBy("b")).collect()

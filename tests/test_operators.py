@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -31,6 +32,8 @@ def test_split_ids_drops_blanks(spark):
 
 def test_paginate_loses_nothing(spark):
     texts = [(1, "abc def " * 30), (2, ""), (3, None), (4, "x" * 55)]
+    fits = flatten.paginate(spark.createDataFrame([(1, "hello world"), (2, "x" * 20), (3, "ab cd " * 4), (4, " ")], "id int, t string"), "id", "t", 20).groupBy("id").agg(F.collect_list("piece").alias("p"))
+    assert {r.id: sorted(r.p) for r in fits.collect()} == {1: ["hello world"], 2: ["x" * 20], 3: sorted(["ab cd ab cd ab cd ab", " cd "]), 4: [" "]}
     out = flatten.paginate(spark.createDataFrame(texts, "id int, t string"), "id", "t", 20).orderBy("id", "ordinal").collect()
     for i, t in texts:
         pieces = [r.piece for r in out if r.id == i]
@@ -240,6 +243,71 @@ def test_one_to_one_properties():
     assert len(many) == 23
 
 
+def difflib_score(q, p):
+    """The plain search: longest common block of tokens or characters, over the shorter side."""
+    best, method = 0.0, "none"
+    for name, a, b, short_run, run, least in (("fuzzy_token", q.split(), p.split(), 4, 6, 4), ("fuzzy_character", q.replace(" ", ""), p.replace(" ", ""), 20, 20, 20)):
+        short = min(len(a), len(b))
+        if short >= least:
+            size = SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size
+            if size >= (short_run if short <= 6 else run) and size / short > best:
+                best, method = size / short, name
+    return best, method
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_longest_runs_equal_difflib(seed):
+    rng = random.Random(seed)
+    pairs = [(rng.choices(range(4), k=rng.randint(0, 40)), rng.choices(range(4), k=rng.choice([0, 3, 17, 200]))) for _ in range(60)]
+    want = [SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size for a, b in pairs]
+    arrays = [(np.array(a, np.int64), np.array(b, np.int64)) for a, b in pairs]
+    assert textmatch.longest_runs(arrays).tolist() == want
+    assert [textmatch._run_by_windows(a, b) for a, b in arrays] == want
+    kept, textmatch.CELLS = textmatch.CELLS, 50
+    try:
+        assert textmatch.longest_runs(arrays).tolist() == want
+    finally:
+        textmatch.CELLS = kept
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_fuzzy_scores_equal_difflib(seed):
+    rng = random.Random(seed)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    qs, ps = [], []
+    for _ in range(40):
+        q = rng.choices(words, k=rng.randint(1, 14))
+        p = q[:]
+        p[rng.randrange(len(p))] = rng.choice(words)
+        qs.append(" ".join(q))
+        ps.append((" " if rng.random() < 0.7 else "").join(p + rng.choices(words, k=rng.randint(0, 5))))
+    score, method = textmatch.fuzzy_scores(qs + [None], ps + ["x"])
+    assert [(round(s, 9), m) for s, m in zip(score, method)] == [(round(s, 9), m) for s, m in map(difflib_score, qs, ps)] + [(0.0, "none")]
+
+
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(4)
+    make = lambda: "".join(rng.choices("ab ", k=rng.choice([0, 1, 2, 5, 11, 12, 13, 40])))
+    rows = sorted({(f"d{rng.randint(0, 2)}", make()) for _ in range(150)})
+    df = spark.createDataFrame([(d, i, v) for i, (d, v) in enumerate(rows)], "doc string, h long, v string")
+    got = {(r.l, r.r) for r in textmatch.contained(df, df, ["doc"], "h", "v").collect()}
+    assert got == {(i, j) for i, (d, a) in enumerate(rows) for j, (e, b) in enumerate(rows) if d == e and a and a in b}
+
+
+def test_single_edges_are_matched_without_python(spark):
+    rng = random.Random(3)
+    edges = [(f"d{rng.randint(0, 3)}", f"l{rng.randint(0, 9)}", f"r{rng.randint(0, 9)}", rng.choice([0.8, 0.9, 1.0]), "m", "clash") for _ in range(60)]
+    df = spark.createDataFrame(edges, "doc string, l string, r string, score double, method string, n string")
+    got = {}
+    for r in assign.assign(df, ["doc"]).collect():
+        got.setdefault(r.doc, []).append((r.l, r.r, r.score))
+    for d in {e[0] for e in edges}:
+        want = assign.one_to_one([e[1:4] for e in edges if e[0] == d])
+        assert len(got[d]) == len(want) and sum(x[2] for x in got[d]) == pytest.approx(sum(x[2] for x in want))
+        assert len({x[0] for x in got[d]}) == len({x[1] for x in got[d]}) == len(got[d])
+    assert assign.assign(df.limit(0), ["doc"]).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_pruned_fuzzy_equals_the_full_search(seed):
     rng = random.Random(seed)
@@ -295,6 +363,9 @@ def test_score_ladder(spark):
     ]
     out = textmatch.score_pairs(spark.createDataFrame([(a, b) for a, b, _ in rows], "q string, p string"), "q", "p").collect()
     assert [r.method for r in out] == [m for *_, m in rows]
+    word = spark.createDataFrame([("d", "a", None), ("d", "b", "None")], "doc string, id string, v string")
+    met = {(r.l, r.r) for r in textmatch.edges(word, word, ["doc"], "id", "id", ["v"], ["v"], 0.8, null_as_literal=True).collect()}
+    assert met == {("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")}
     literal = textmatch.score_pairs(spark.createDataFrame([(None, None)], "q string, p string"), "q", "p", null_as_literal=True)
     assert one(literal).method == "raw_equal"
 
@@ -312,6 +383,26 @@ def test_edges_greedy_and_assignment(spark):
     assert rec == {"a1": "assigned", "a2": "assigned", "a3": "unassigned"}
 
 
+def test_english_labels(spark):
+    labels = ["en", " EN ", "eng", "en-GB", "English", "en_us", "german", "english/german", "", None, "xen"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in labels], "v string").select(scalars.names_english("v")).collect()] == [True] * 6 + [False] * 5
+
+
+def test_two_raters_by_group(spark):
+    rows = [("m", "a", "a", 1.0), ("m", "a", "b", 1.0), ("n", "x", "x", 2.0), ("n", "y", "y", 1.0), ("n", None, "y", 1.0), ("o", None, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, l string, r string, w double")
+    got = {r.g: r for r in reliability.two_raters(df, "l", "r", "w", by=["g"]).collect()}
+    for g in ("m", "n", "o"):
+        alone = one(reliability.two_raters(df.where(F.col("g") == g), "l", "r", "w"))
+        assert tuple(got[g])[1:] == tuple(alone)
+
+
+def test_generic_bootstrap_checks_its_size(spark, monkeypatch):
+    monkeypatch.setattr(inference, "MAX_LOCAL", 5)
+    with pytest.raises(ValueError):
+        inference.cluster_bootstrap(spark.range(9).selectExpr("id c", "1.0 v"), "c", lambda pdf: pdf.v.mean(), 5, 1)
+
+
 def test_normalizers(spark):
     rows = spark.createDataFrame([("Straße  Ｆｕｌｌ—x_1",), (None,), ("",), ("A-b\nC",)], "v string")
     assert [r.x for r in rows.select(scalars.normalize_text("v").alias("x")).collect()] == ["strasse full x_1", None, "", "a b c"]

@@ -12,7 +12,7 @@ def test_export_and_verify(spark, small, tmp_path):
     tables = pipelines.results(spark, small, "audit")
     manifest = pipelines.export(tables, str(tmp_path / "out"), {"scale": "small"})
     assert json.loads((tmp_path / "out" / "manifest.json").read_text()) == manifest
-    assert next((tmp_path / "out" / "estimate").glob("part*")).read_text().startswith("estimate,standard_error,low,high\n")
+    assert next((tmp_path / "out" / "estimate").glob("part*")).read_text().startswith("measure,estimate,standard_error,low,high\n")
     assert pipelines.verify(tables, manifest).count() == 0
     manifest["outputs"]["macro"]["digest"] = "0"
     manifest["outputs"]["gone"] = {"digest": "0", "rows": 1}
