@@ -112,7 +112,7 @@ def test_screening_of_pages(spark, tables):
     ]
     where = tables(said, [*reference(), ("d", 1, TEXTS[0], "stress_long", "negative", None)])
     pairs = {(r.statement_id, r.par): (r.method, r.field) for r in QUERIES["q_statement_paragraph"](spark, where).collect()}
-    assert pairs == {("openai:0", 0): ("raw_equal", "quote"), ("claude:1", 0): ("fuzzy_token", "quote"), ("openai:2", 1): ("raw_contains", "quote_en")}
+    assert pairs == {("openai:0", 0): ("raw_equal", "quote"), ("claude:1", 0): ("fuzzy_character", "quote"), ("openai:2", 1): ("raw_contains", "quote_en")}
     assert {(r.par, r.n, r.best_score, r.best_statement) for r in QUERIES["q_paragraph_best"](spark, where).collect()} == {(0, 2, 1.0, "openai:0"), (1, 1, 1.0, "openai:2"), (2, 0, 0.0, None), (3, 0, 0.0, None)}
     assert {(r.statement_id, r.par) for r in QUERIES["q_greedy_paragraph"](spark, where).collect()} == set(pairs)
     got = {r.candidates: r.asDict() for r in QUERIES["q_candidate_summary"](spark, where).collect()}
