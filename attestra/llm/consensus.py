@@ -10,6 +10,9 @@ penalised dual has one maximum), annotator tilts by coordinate sweeps over the d
 second-order model, whose objective every pass reports and must not lower. Agreement is
 reported separately (Krippendorff's alpha).
 
+Reviews have two parts, which are two consensus problems (:class:`Reviews`): a reviewer who wrongly keeps an
+item still codes it by its content, so that equal codes say nothing about the decision.
+
 Scale: an item's labels are one row; item tilts and posteriors are local to it, and a
 pass only sends sums per annotator and relation. The driver holds a few dozen numbers for
 each annotator and class, whatever the number of items; nothing is refused or left out.
@@ -142,7 +145,7 @@ class Consensus:
     A label of ``SOME_CLASS`` is a vote for a class that is not named: it counts against the null class and
     for no class in particular. Rows with a null in any of the three are left out; of several rows of an annotator
     for an item the greatest label counts. Classes are the labels seen; ``kin_of`` gives the family of a label.
-    ``result`` has one row per item that has a label; ties go to the class first in label order. ``objective``
+    Where no label is the null class, no item is taken for one. ``result`` has one row per item that has a label; ties go to the class first in label order. ``objective``
     lists the penalised dual after each pass.
     """
 
@@ -156,7 +159,7 @@ class Consensus:
         self.kin = np.array([kin_names[kin_of(c)] for c in self.classes])
         spark = labels.sparkSession
         names = lambda values, col, num: spark.createDataFrame(values, f"{col} string, {num} int")
-        self.labels = clean
+        self.labels, self.null = clean, bool(clean.where("label = ''").limit(1).count())
         self.objective: list[float] = []
         if not self.annotators:
             self.items = None
@@ -171,7 +174,8 @@ class Consensus:
 
     def _fit(self) -> None:
         a, c = len(self.annotators), len(self.classes)
-        prior = np.r_[0.5, np.full(c - 1, 0.5 / max(c - 1, 1))] if c > 1 else np.ones(1)
+        null = 0.5 if self.null else 0.0
+        prior = np.r_[null, np.full(c - 1, (1 - null) / max(c - 1, 1))] if c > 1 else np.ones(1)
         # start and centre of the penalty: how often all annotators together show each relation to the votes' majority
         _, sums, mass = self._pass(np.zeros((a, RELATIONS)), prior, votes_only=True)
         pooled = sums[:, :RELATIONS].sum(0) + 1.0
@@ -207,7 +211,7 @@ class Consensus:
 
     def _prior(self, mass: np.ndarray) -> np.ndarray:
         """Class shares from posterior mass (the last entry is that of classes no one named)."""
-        null = (mass[0] + 1.0) / (mass.sum() + 2.0)
+        null = (mass[0] + 1.0) / (mass.sum() + 2.0) if self.null else 0.0
         named = mass[1:-1] + 1.0
         return np.r_[null, (1 - null) * named / named.sum()] if len(named) else np.ones(1)
 
@@ -272,6 +276,29 @@ class Consensus:
         return counts.join(spark.createDataFrame(rows, schema), "annotator")
 
 
+class Reviews:
+    """Decisions and codes of reviewed items: ``reviews`` has item, annotator, decision (keep or exclude) and code, one row per annotator and item.
+
+    A keep without a code counts for the decision only; nulls in item, annotator or decision are left out.
+    """
+
+    def __init__(self, reviews: DataFrame):
+        kept = F.col("decision") == "keep"
+        self.decisions = Consensus(reviews.select("item", "annotator", F.when(kept, "keep").when(F.col("decision") == "exclude", "").alias("label")))
+        self.codes = Consensus(reviews.where(kept & (F.col("code") != "")).select("item", "annotator", F.col("code").alias("label")))
+
+    def result(self) -> DataFrame:
+        """item, keep, label (the likeliest code anyone gave it; null if no one did), p_keep, p_label."""
+        codes = self.codes.result().select("item", "label", "p_label")
+        return self.decisions.result().select("item", "keep", "p_keep").join(codes, "item", "left").select("item", "keep", "label", "p_keep", "p_label")
+
+    def reliability(self) -> DataFrame:
+        """annotator, n_labels, p_null_right and p_keep_right (decisions on excluded and on kept items), n_codes and p_label_right (codes)."""
+        decided = self.decisions.reliability().select("annotator", "n_labels", "p_null_right", "p_keep_right")
+        coded = self.codes.reliability().select("annotator", F.col("n_labels").alias("n_codes"), "p_label_right")
+        return decided.join(coded, "annotator", "left").select("annotator", "n_labels", "p_null_right", "p_keep_right", F.coalesce("n_codes", F.lit(0)).alias("n_codes"), "p_label_right")
+
+
 def krippendorff(labels: DataFrame, groups: list[str], item: str, label: str) -> DataFrame:
     """Nominal alpha per group from items with two labels or more: n_items, n_labels, observed and expected disagreement, alpha (null where no disagreement is possible)."""
     per = labels.na.drop(subset=[item, label]).groupBy(*groups, item, label).agg(F.count(F.lit(1)).alias("n"))

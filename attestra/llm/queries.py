@@ -13,9 +13,8 @@ def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.all_reviews(read(spark, sf_dir, "reviewed_candidates"), read(spark, sf_dir, "review_labels"))
 
 
-def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
-    label = F.when(F.col("decision") == "exclude", F.lit("")).otherwise(F.coalesce("code", F.lit(consensus.SOME_CLASS)))
-    return consensus.Consensus(_reviews(spark, sf_dir).select("item", "annotator", label.alias("label")))
+def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Reviews:
+    return consensus.Reviews(_reviews(spark, sf_dir))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,38 @@ def test_keep_vote_without_a_code_counts_for_the_decision(spark):
     assert all(b >= a - 1e-9 * abs(a) for a, b in zip(model.objective, model.objective[1:]))
 
 
+def test_equal_codes_of_wrong_keeps_do_not_decide(spark):
+    """Reviewers who wrongly keep an item code it by its content, so their codes agree."""
+    rng = random.Random(12)
+    worth = {"a": (0.95, 0.9), "b": (0.9, 0.85), "c": (0.85, 0.8), "flips": (0.1, 0.4), "always": (None, 0.6), "never": (None, 0.6)}
+    truth, rows = {}, []
+    for i in range(500):
+        keep, code = rng.random() < 0.6, rng.choice(CODES)
+        truth[f"i{i}"] = (keep, code)
+        for who, (right, coding) in worth.items():
+            if rng.random() < 0.8:
+                says = who == "always" if right is None else keep if rng.random() < right else not keep
+                rows.append((f"i{i}", who, "keep" if says else "exclude", (code if rng.random() < coding else rng.choice(CODES)) if says else None, "clash"))
+    rows += [("bare", "a", "keep", None, ""), ("bare", "b", "keep", "", ""), ("gone", "a", None, "A.x", ""), (None, "a", "keep", "A.x", ""), ("gone", None, "keep", "A.x", "")]
+    model = consensus.Reviews(spark.createDataFrame(rows, "item string, annotator string, decision string, code string, label string"))
+    got = {r.item: r for r in model.result().collect()}
+    assert got["bare"].keep and got["bare"].label is None and "gone" not in got
+    decided = [got[i].keep == k for i, (k, _) in truth.items() if i in got]
+    coded = [got[i].label == c for i, (k, c) in truth.items() if i in got and k and got[i].keep]
+    votes = {}
+    for i, _, says, code, _ in rows:
+        if code and says:
+            votes.setdefault(i, []).append(code)
+    plurality = [max(sorted(set(votes[i])), key=votes[i].count) == c for i, (k, c) in truth.items() if i in got and k and got[i].keep and i in votes]
+    assert np.mean(decided) > 0.93 and np.mean(coded) > 0.9 and np.mean(coded) > np.mean(plurality)
+    kept = [i for i in truth if i in got and got[i].keep]
+    assert np.mean([not truth[i][0] for i in kept]) < 0.06
+    rel = {r.annotator: r for r in model.reliability().collect()}
+    assert rel["flips"].p_null_right < 0.3 and rel["always"].p_null_right < 0.1 and rel["a"].p_label_right > rel["flips"].p_label_right and rel["never"].n_codes == 0 and rel["never"].p_label_right is None
+    none = consensus.Reviews(spark.createDataFrame([], "item string, annotator string, decision string, code string"))
+    assert none.result().count() == 0 and none.reliability().count() == 0
+
+
 def test_dual_rises_and_scattered_codes_do_not_outweigh_the_null_class(spark):
     truth, rows = reviews(seed=3)
     model = consensus.Consensus(spark.createDataFrame(rows, "item string, annotator string, label string"))
