@@ -275,7 +275,7 @@ def page_candidates(left: DataFrame, right: DataFrame, page: list[str], threshol
     used = sizes.groupBy(*page).agg(F.collect_set("k").alias("used"))  # powers of two: a few per page
     kinds = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in page)
     schema = f"{kinds}, h long, k int, own boolean, mark long"
-    made = lambda df: df.join(used, page).select(*page, "h", F.lit(raw_only).alias("blanks"), "own", "used", "n").mapInArrow(_seeds, schema)
+    made = lambda df: spread(df.join(used, page).select(*page, "h", F.lit(raw_only).alias("blanks"), "own", "used", "n")).mapInArrow(_seeds, schema)
     ls, rs = made(l).withColumnsRenamed({"h": "l", "own": "lo"}), made(r).withColumnsRenamed({"h": "r", "own": "ro"})
     met = ls.join(rs, [*page, "k", "mark"]).where("lo or ro").select(*page, "l", "r")
     small = lambda df: df.where(F.col("bare") <= tiny)
@@ -311,7 +311,7 @@ def edges(left: DataFrame, right: DataFrame, page: list[str], left_id: str, righ
             word = page_candidates(named(lu, "q"), named(ru, "t"), page, threshold, raw_only)
             back = lambda c: F.explode(F.when(F.col(c) == "None", F.array(F.col(c), F.lit(None).cast("string"))).otherwise(F.array(c))).alias(c)
             pairs = word.select(*page, back("q"), "t").select(*page, "q", back("t"))
-    scored = score_pairs(pairs, "q", "t", fuzzy_stage, null_as_literal, threshold).where(F.col("score") >= threshold)
+    scored = score_pairs(spread(pairs) if fuzzy_stage else pairs, "q", "t", fuzzy_stage, null_as_literal, threshold).where(F.col("score") >= threshold)
     if only:
         scored = scored.where(F.col("method").isin(*only))
     same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
