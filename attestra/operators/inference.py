@@ -23,6 +23,8 @@ from attestra.functions.scalars import f1
 
 #: Rows of a table that a generic statistic may be computed on in one task.
 MAX_LOCAL = 1_000_000
+#: Draws whose slots one task makes.
+TASK_DRAWS = 20
 
 
 def draw_index(seed: str, draw: Column, slot: Column, size: Column) -> Column:
@@ -34,18 +36,18 @@ def draw_index(seed: str, draw: Column, slot: Column, size: Column) -> Column:
 def resample(clusters: DataFrame, key: str, columns: Sequence[str], draws: int, seed: str) -> DataFrame:
     """draw and the sums of ``columns`` over as many clusters as there are, drawn with replacement.
 
-    Draw and slot numbers come from ranges; the cluster table is numbered in key order
+    Draw and slot numbers come from ranges; the cluster table is numbered in key order, a null key last as in SQL
     (one row per cluster, pre-aggregated). An empty table gives no draws.
     """
     spark = clusters.sparkSession
-    numbered = clusters.select(*columns, (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("i"))
+    numbered = clusters.select(*columns, (F.row_number().over(Window.orderBy(F.asc_nulls_last(key))) - 1).cast("long").alias("i"))
     size = clusters.agg(F.count(F.lit(1)).alias("k"))
-    slots = spark.range(draws).select(F.col("id").alias("draw")).join(F.broadcast(size), F.lit(True)).where("k > 0")
+    slots = spark.range(0, draws, 1, max(1, -(-draws // TASK_DRAWS))).select(F.col("id").alias("draw")).join(F.broadcast(size), F.lit(True)).where("k > 0")
     slots = slots.select("draw", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("slot"))
     picked = slots.select("draw", draw_index(seed, F.col("draw"), F.col("slot"), F.col("k")).alias("i"))
-    # equal picks of a draw are counted before the join, so at most draws x clusters rows meet the totals
-    times = picked.groupBy("draw", "i").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(numbered, "i").groupBy("draw").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in columns])
+    # every pick has its cluster; a left join, as Spark's estimate knows nothing of the slots and an inner one would
+    # broadcast draws x clusters picks through the driver. The slots of a draw are in one task, so only sums are sent
+    return picked.join(numbered, "i", "left").groupBy("draw").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def resample_poisson(clusters: DataFrame, key: str, columns: Sequence[str], draws: int, seed: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against brute force, published figures and their edge cases."""
 
+import hashlib
 import itertools
 import random
 from difflib import SequenceMatcher
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import scalars
 from attestra.operators import allocate, assign, evaluate, expectations, flatten, inference, reliability, score, survey, textmatch
+from attestra.tables import materialize
 
 
 def one(df):
@@ -184,6 +186,31 @@ def test_bootstrap_interval_holds_the_point(spark):
     assert r == again
 
 
+def drawn(names, draws):
+    """Names that every draw of seed s takes, in plain Python."""
+    return {d: [names[int(hashlib.md5(f"s|{d}|{i}".encode()).hexdigest()[:12], 16) % len(names)] for i in range(len(names))] for d in range(draws)}
+
+
+def test_bootstrap_never_broadcasts_its_picks(spark):
+    """300,000 picks stay where they are made, also if Spark takes them for less than the clusters."""
+    data = {hashlib.sha512(b"%d" % i).hexdigest(): (i % 7, i * i % 11) for i in range(1500)}
+    rows = spark.createDataFrame([(k, *v) for k, v in data.items()], "doc string, tp long, fp long")
+    want = {d: tuple(sum(data[n][c] for n in names) for c in (0, 1)) for d, names in drawn(sorted(data), 200).items()}
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        for totals in (materialize(rows), rows):  # small enough to be broadcast, and of unknown size
+            assert {r.draw: (r.tp, r.fp) for r in inference.resample(totals, "doc", ["tp", "fp"], 200, "s").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert inference.resample(rows.limit(0), "doc", ["tp"], 20, "s").count() == inference.resample(rows, "doc", ["tp"], 0, "s").count() == 0
+
+
+def test_bootstrap_numbers_a_null_cluster_last(spark):
+    data = {"a": 1, "b": 10, None: 100}
+    rows = spark.createDataFrame(list(data.items()), "doc string, tp long")
+    assert {r.draw: r.tp for r in inference.resample(rows, "doc", ["tp"], 30, "s").collect()} == {d: sum(data[n] for n in names) for d, names in drawn(["a", "b", None], 30).items()}
+
+
 def test_poisson_bootstrap_agrees_with_the_multinomial(spark):
     rows = spark.createDataFrame([(f"d{i}", 8 + i % 3, i % 2, 2) for i in range(300)], "doc string, tp long, fp long, fn long")
     a, b = one(inference.bootstrap_confusion(rows, "doc", 400, "s")), one(inference.bootstrap_confusion(rows, "doc", 400, "s", poisson=True))
