@@ -1,8 +1,10 @@
 """Evaluation queries on small tables whose results are known."""
 
+import hashlib
 import unicodedata
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from attestra.plans import catalogue, pipelines
@@ -79,6 +81,24 @@ def test_gates_use_the_lower_bound_and_the_matched_workload(spark, tables):
     assert pipelines.EVALUATION["gates"] == "q_matched_gates"
 
 
+@pytest.fixture
+def many(spark, tables):
+    """2,000 documents of long names with a positive paragraph each, every second one found, and no broadcast of more than 100 MB; the interval of the recall."""
+    names = sorted("".join(hashlib.sha512(b"%d.%d" % (i, j)).hexdigest() for j in range(8)) for i in range(2000))
+    where = tables([("openai", d, 1, TEXTS[0], None, "A", "text") for d in names[::2]], [(d, 1, TEXTS[0], "probability", "positive", "A") for d in names])
+    picks = lambda draw: (int(hashlib.md5(f"b1|{draw}|{i}".encode()).hexdigest()[:12], 16) % 2000 for i in range(2000))
+    recall = np.percentile([sum(i % 2 == 0 for i in picks(draw)) / 2000 for draw in range(2000)], [2.5, 97.5]).round(6).tolist()
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "100m")
+    yield where, recall
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_bootstrap_of_many_documents_stays_out_of_the_driver(spark, many):
+    where, recall = many
+    got = QUERIES["q_matched_bootstrap"](spark, where).first()
+    assert [got.recall_low, got.recall_high] == recall and (got.precision_low, got.precision_high) == (1.0, 1.0)
+
+
 def test_draws_are_those_of_the_method(spark, small, monkeypatch):
     asked = {}
     monkeypatch.setattr(catalogue, "_conditions", lambda *a: spark.createDataFrame([("ensemble", "posture", "pages", "e", 1.0, 2.0)], "variant string, measure string, condition string, entity string, x double, y double"))
