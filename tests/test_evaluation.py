@@ -99,6 +99,12 @@ def test_bootstrap_of_many_documents_stays_out_of_the_driver(spark, many):
     assert [got.recall_low, got.recall_high] == recall and (got.precision_low, got.precision_high) == (1.0, 1.0)
 
 
+def test_gates_of_many_documents_stay_out_of_the_driver(spark, many):
+    where, recall = many
+    got = QUERIES["q_matched_gates"](spark, where).first()
+    assert (got.recall, got.recall_low, got.precision, got.workload, got.e1) == (0.5, recall[0], 1.0, 0.5, "fail")
+
+
 def test_draws_are_those_of_the_method(spark, small, monkeypatch):
     asked = {}
     monkeypatch.setattr(catalogue, "_conditions", lambda *a: spark.createDataFrame([("ensemble", "posture", "pages", "e", 1.0, 2.0)], "variant string, measure string, condition string, entity string, x double, y double"))
