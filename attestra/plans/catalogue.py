@@ -429,8 +429,10 @@ def q_matched_gates(spark, d):
     par = materialize(matched_paragraphs(spark, d), "paragraphs")
     totals = evaluate.cluster_totals(par.where("stratum = 'probability'"), "found_any", "doc_id")
     low = inference.bootstrap_confusion(materialize(totals, "totals"), "doc_id", 2000, "b1").select("recall_low")
+    # cuts, as the driver plans the whole anew after every stage
+    low = materialize(low, "low")
     a, b, e = _edges(spark, d, MATCH, True, pages=par.select("doc_id", "page").distinct())
-    left = assign.overlap_summary(a, b, assign.assign(e, ["doc_id", "page"]), "statement_id", "statement_id", "code1").select("workload")
+    left = assign.overlap_summary(a, b, assign.assign(materialize(e, "edges"), ["doc_id", "page"]), "statement_id", "statement_id", "code1").select("workload")
     m = _gate_measures(par).join(low, F.lit(True)).join(left, F.lit(True))
     return _gates(m.withColumn("workload", F.try_divide(F.col("workload").cast("double"), F.col("positives"))), "recall_low")
 
