@@ -20,19 +20,21 @@ MATCH = 0.8
 PLACEHOLDERS = ("none", "null", "n/a", "-", "")
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per statement_id: the latest received, ties to the smaller record_id."""
+def statements(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    """One row per statement_id: the latest received, ties to the smaller record_id; of ``pages`` (doc_id, page) only, if given."""
     cols = ["statement_id", "record_id", "provider", "unit_id", "doc_id", "page", "quote", "quote_en", "code1", "odr", "privacy_direction", "privacy_relation", "strength", "source_mode", "qc_status"]
     raw = read(spark, sf_dir, "provider_outputs").where("statement_id is not null")
     order = F.struct(F.coalesce("received_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), (-F.col("record_id")).alias("minus"))
     # the winner is found on three narrow columns; of its row only the columns a query uses are read and moved
     latest = raw.groupBy("statement_id").agg(F.max(order).alias("x")).select("statement_id", (-F.col("x.minus")).alias("record_id"))
-    return raw.select(*cols).join(latest, ["statement_id", "record_id"], "left_semi")
+    # whether a row is the latest of all does not depend on the pages, so they come first: few whole rows are moved then
+    rows = raw.select(*cols) if pages is None else raw.select(*cols).join(pages, ["doc_id", "page"], "left_semi")
+    return rows.join(latest, ["statement_id", "record_id"], "left_semi")
 
 
-def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quoted(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
     """Statements with null for placeholders in quote and quote_en."""
-    return statements(spark, sf_dir).withColumns({c: F.when(F.lower(F.trim(c)).isin(*PLACEHOLDERS), None).otherwise(F.col(c)) for c in ("quote", "quote_en")})
+    return statements(spark, sf_dir, pages).withColumns({c: F.when(F.lower(F.trim(c)).isin(*PLACEHOLDERS), None).otherwise(F.col(c)) for c in ("quote", "quote_en")})
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +79,8 @@ def paragraph_edges(spark: SparkSession, sf_dir: str, threshold: float) -> tuple
     page = ["doc_id", "page"]
     ref = read(spark, sf_dir, "reference_paragraphs").select("ref_id", *page, "text", F.col("reference_truth").alias("truth"))
     texts = ref.where("text is not null").groupBy(*page, "text").agg(F.min("ref_id").alias("par"), F.coalesce(F.min_by("truth", "ref_id"), F.lit("")).alias("truth"))
-    st = quoted(spark, sf_dir).select("provider", "statement_id", *page, "quote", "quote_en", "code1", "qc_status")
-    st = materialize(st.join(ref.select(*page).distinct(), page, "left_semi"), "statements")
+    st = quoted(spark, sf_dir, ref.select(*page).distinct()).select("provider", "statement_id", *page, "quote", "quote_en", "code1", "qc_status")
+    st = materialize(st, "statements")
     return st, texts, textmatch.edges(st, texts, page, "statement_id", "par", ["quote", "quote_en"], ["text"], threshold)
 
 
@@ -90,7 +92,8 @@ def assigned_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     page = ["doc_id", "page"]
     st, texts, found = paragraph_edges(spark, sf_dir, MATCH)
-    found = found.join(st.select(F.col("statement_id").alias("l"), "provider"), "l")
+    # a cut: the assignment reads the edges twice, and the driver plans the whole anew after every stage
+    found = materialize(found.join(st.select(F.col("statement_id").alias("l"), "provider"), "l"), "edges")
     pairs = assign.assign(found, ["provider", *page]).select(F.col("l").alias("statement_id"), F.col("r").alias("par"))
     return st.join(pairs, "statement_id", "left").join(texts.select("par", "text", "truth"), "par", "left").drop("par")
 

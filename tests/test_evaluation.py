@@ -7,7 +7,9 @@ from datetime import datetime
 import numpy as np
 import pytest
 
-from attestra.plans import catalogue, pipelines
+from attestra import tables as stored
+from attestra.operators import textmatch
+from attestra.plans import bindings, catalogue, pipelines
 from attestra.plans.bindings import matched_paragraphs
 
 QUERIES = catalogue.queries()
@@ -105,6 +107,22 @@ def test_gates_of_many_documents_stay_out_of_the_driver(spark, many):
     assert (got.recall, got.recall_low, got.precision, got.workload, got.e1) == (0.5, recall[0], 1.0, 0.5, "fail")
 
 
+def test_the_driver_plans_the_matching_of_the_bootstrap_once(spark, tables, monkeypatch):
+    plans = []
+
+    def noted(df, label="cut"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored.materialize(df, label)
+
+    for module in (bindings, catalogue, textmatch):
+        monkeypatch.setattr(module, "materialize", noted)
+    where = tables([("openai", "d1", 1, TEXTS[0], None, "A", "text")], [("d1", 1, TEXTS[0], "probability", "positive", "A")])
+    got = QUERIES["q_matched_bootstrap"](spark, where)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("MapInArrow") for p in plans if "MapInArrow" in p] == [2]  # the windows of both sides, in one plan
+    assert (got.first().recall_low, got.first().precision_high) == (1.0, 1.0)
+
+
 def test_draws_are_those_of_the_method(spark, small, monkeypatch):
     asked = {}
     monkeypatch.setattr(catalogue, "_conditions", lambda *a: spark.createDataFrame([("ensemble", "posture", "pages", "e", 1.0, 2.0)], "variant string, measure string, condition string, entity string, x double, y double"))
